@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.mixing import language, mix, mix_report, source_name
+from gleaner.llm.packing import pack
 from gleaner.llm.rank_fusion import fuse_rankings
 from gleaner.llm.repetition import repetition
 from gleaner.llm.term_stats import marked_terms
+from gleaner.llm.tokens import token_counts
 from gleaner.llm.top_n import top_n
+from gleaner.session import written
 from gleaner.sources.tables import read_table
 
 FUSED = ("match_score", "sif_score", "dpr_score", "cross_encoder_score")
@@ -53,6 +57,37 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_ranking(spark, sf_dir).where((F.col("n_items") >= 8) & (firsts >= 3)).select("criteria_uid", "file_idx", "match_idx")
 
 
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = written(token_counts(read_table(spark, sf_dir, "documents"), ["doc_id"], "text"))
+    specs = read_table(spark, sf_dir, "bin_specs").where("spec_id is not null and capacity_tokens > 0").distinct().collect()
+    packed = [pack(sizes, "doc_id", "n_tokens", r["capacity_tokens"]).withColumn("spec_id", F.lit(r["spec_id"])) for r in specs]
+    whole = packed[0]
+    for other in packed[1:]:
+        whole = whole.unionByName(other)
+    return whole.select("spec_id", "container", "doc_id", "piece", "first_token", "n_tokens")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = p7_packing(spark, sf_dir).where("container is not null").groupBy("spec_id").agg(
+        F.count_distinct("container").alias("containers"), F.sum("n_tokens").alias("tokens")
+    )
+    specs = read_table(spark, sf_dir, "bin_specs").distinct()
+    share = F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))
+    return filled.join(specs, "spec_id").select("spec_id", "capacity_tokens", "containers", "tokens", share.alias("filled_share"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read_table(spark, sf_dir, "mix_targets")
+    documents = read_table(spark, sf_dir, "documents").withColumn("source", source_name(F.col("source")))
+    asked = targets.select(source_name(F.col("source")).alias("source")).distinct()
+    drawn = documents.join(asked, "source", "left_semi").withColumn("lang", language(F.col("lang")))
+    return mix(written(token_counts(drawn, ["doc_id", "source", "lang"], "text")), targets)
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(p8_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
 def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(read_table(spark, sf_dir, "documents"), "doc_id", "text", 8)
 
@@ -69,6 +104,10 @@ def queries() -> dict:
         "p2_top_matches": p2_top_matches,
         "p6_found": p6_found,
         "p6_ranking": p6_ranking,
+        "p7_packing": p7_packing,
+        "p7_report": p7_report,
+        "p8_mix": p8_mix,
+        "p8_report": p8_report,
         "p9_found": p9_found,
         "p9_repetition": p9_repetition,
     }

@@ -96,10 +96,7 @@ def marked_terms(
     Rare: in at most ``rare_records`` records (this wins). Common: in at least
     ``common_per_cent`` of all records of the table, those without value included.
     """
-    total = df.agg(F.count_distinct(F.col(record)).alias("__total")).select(F.lit(field).alias("field"), "__total")
-    terms = term_frequencies(df, record, value, kind).withColumn("field", F.lit(field))
-    mark = F.when(F.col("records") <= rare_records, "rare").when(
-        F.col("records") * 100 >= F.col("__total") * common_per_cent, "common"
-    )
-    # total is one row, an aggregate without groups
-    return terms.join(F.broadcast(total), "field").select("field", "term", "occurrences", "records", mark.alias("mark"))
+    total = df.agg(F.count_distinct(F.col(record))).scalar()
+    mark = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") * 100 >= total * common_per_cent, "common")
+    terms = term_frequencies(df, record, value, kind)
+    return terms.select(F.lit(field).alias("field"), "term", "occurrences", "records", mark.alias("mark"))
