@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.forest import similar_vectors
 from gleaner.llm.mixing import language, mix, mix_report, source_name
 from gleaner.llm.packing import pack
 from gleaner.llm.rank_fusion import fuse_rankings
@@ -45,6 +46,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_top_matches(spark, sf_dir).select("file_idx", "match_idx")
 
 
+VECTORS = ("query_sif_embeddings", "query_dpr_embeddings")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = read_table(spark, sf_dir, "query_builders")
+    found = [
+        similar_vectors(queries, "query_id", field, k=5, min_cosine=0.9)
+        .select(F.lit(field).alias("field"), F.least("id", "other").alias("query_id_a"), F.greatest("id", "other").alias("query_id_b"))
+        .distinct()
+        for field in VECTORS
+    ]
+    return found[0].unionByName(found[1])
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = read_table(spark, sf_dir, "query_builders")
+    found = [similar_vectors(queries, "query_id", field, k=5).select(F.lit(field).alias("field"), "*") for field in VECTORS]
+    return found[0].unionByName(found[1])
+
+
 def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse_rankings(
         read_table(spark, sf_dir, "raw_scores"), "criteria_uid", ["file_idx", "match_idx"], {s: set_score(s) for s in FUSED}
@@ -102,6 +123,8 @@ def queries() -> dict:
         "p1_term_statistics": p1_term_statistics,
         "p2_found": p2_found,
         "p2_top_matches": p2_top_matches,
+        "p5_found": p5_found,
+        "p5_neighbours": p5_neighbours,
         "p6_found": p6_found,
         "p6_ranking": p6_ranking,
         "p7_packing": p7_packing,
