@@ -42,6 +42,36 @@ o AS (
     list_sort(list(CASE WHEN v IS NULL THEN 1.0 ELSE r / n_items END)) AS q
   FROM a JOIN n USING (criteria_uid) GROUP BY ALL)
 """
+LINKS = r"""
+WITH RECURSIVE w AS (
+  SELECT hit_id AS id, list_distinct(regexp_extract_all(lower(match_text), '\p{L}+')) AS w
+  FROM (SELECT DISTINCT hit_id, match_text FROM matches)),
+t AS (SELECT id, w, unnest(w) AS term FROM w WHERE len(w) >= 8),
+o AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM t a JOIN t b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING count(*) >= 6),
+v AS (
+  SELECT DISTINCT query_id AS id, CAST(query_sif_embeddings AS DOUBLE[]) AS v FROM query_builders
+  WHERE len(query_sif_embeddings) = 64 AND len(list_filter(query_sif_embeddings, lambda x: x IS NULL OR isnan(x))) = 0
+    AND len(list_filter(query_sif_embeddings, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT 'match_text' AS field, a, b FROM o JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE c * 4 >= 3 * (len(x.w) + len(y.w) - c)
+  UNION ALL
+  SELECT 'query_sif_embeddings', x.id, y.id FROM v x JOIN v y ON x.id < y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+e AS (SELECT field, a, b FROM l UNION ALL SELECT field, b, a FROM l),
+r AS (SELECT DISTINCT field, a AS root, a AS id FROM e UNION SELECT r.field, r.root, e.b FROM r JOIN e ON e.field = r.field AND e.a = r.id),
+m AS (SELECT field, id, min(root) AS first FROM r GROUP BY ALL)
+"""
+NEAREST = """
+WITH u AS (
+  SELECT DISTINCT 'query_sif_embeddings' AS field, query_id, query_sif_embeddings AS v FROM query_builders
+  UNION ALL SELECT DISTINCT 'query_dpr_embeddings', query_id, query_dpr_embeddings FROM query_builders),
+v AS (
+  SELECT field, query_id, CAST(v AS DOUBLE[]) AS v FROM u
+  WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+c AS (
+  SELECT x.field, x.query_id AS a, y.query_id AS b, list_cosine_similarity(x.v, y.v) AS c
+  FROM v x JOIN v y ON x.field = y.field AND x.query_id <> y.query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY field, a ORDER BY c DESC, b) AS rank FROM c WHERE c >= 0.9)
+"""
 REPEATED = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
 g AS (SELECT doc_id, i, w[i : i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
@@ -61,6 +91,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_term_statistics": TERMS + "SELECT * FROM r",
         "p2_found": TOP + "SELECT file_idx, match_idx FROM r WHERE rank <= 3",
         "p2_top_matches": TOP + "SELECT * FROM r WHERE rank <= 3",
+        "p3_found": LINKS + "SELECT field, first AS first_id, id AS member_id FROM m WHERE id <> first",
+        "p5_found": NEAREST + "SELECT DISTINCT field, least(a, b) AS query_id_a, greatest(a, b) AS query_id_b FROM r WHERE rank <= 5",
         "p6_found": RANKS
         + """SELECT criteria_uid, file_idx, match_idx FROM o WHERE n_items >= 8 AND
         (coalesce(match_score_rank = 1, false)::INT + coalesce(sif_score_rank = 1, false)::INT

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.clusters import described, text_clusters, vector_clusters
 from gleaner.llm.forest import similar_vectors
 from gleaner.llm.mixing import language, mix, mix_report, source_name
 from gleaner.llm.packing import pack
@@ -46,6 +47,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_top_matches(spark, sf_dir).select("file_idx", "match_idx")
 
 
+def clusters(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {
+        "match_text": text_clusters(read_table(spark, sf_dir, "matches"), "hit_id", "match_text", 0.75, 8),
+        "query_sif_embeddings": vector_clusters(read_table(spark, sf_dir, "query_builders"), "query_id", "query_sif_embeddings", 0.9),
+    }
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [
+        c.where("id <> cluster").select(F.lit(field).alias("field"), F.col("cluster").alias("first_id"), F.col("id").alias("member_id"))
+        for field, c in clusters(spark, sf_dir).items()
+    ]
+    return found[0].unionByName(found[1])
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [described(c).select(F.lit(field).alias("field"), "*") for field, c in clusters(spark, sf_dir).items()]
+    return found[0].unionByName(found[1])
+
+
 VECTORS = ("query_sif_embeddings", "query_dpr_embeddings")
 
 
@@ -123,6 +144,8 @@ def queries() -> dict:
         "p1_term_statistics": p1_term_statistics,
         "p2_found": p2_found,
         "p2_top_matches": p2_top_matches,
+        "p3_found": p3_found,
+        "p3_clusters": p3_clusters,
         "p5_found": p5_found,
         "p5_neighbours": p5_neighbours,
         "p6_found": p6_found,
