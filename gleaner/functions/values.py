@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,6 +156,10 @@ def char_distance(a: Column, b: Column) -> Column:
     return 1 - F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
+def _near(word: str, most: float) -> Callable[[Column], Column]:
+    return lambda w: char_distance(w, F.lit(word)) < most
+
+
 def picked_choices(answer: Column, choices: list[str], most: float = 0.25) -> Column:
     """The choices of which every word is close to a word of the answer, sorted and comma-joined; 'Other' if there is none."""
     words = F.filter(F.split(F.lower(answer), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -161,7 +167,7 @@ def picked_choices(answer: Column, choices: list[str], most: float = 0.25) -> Co
     for choice in choices:
         near = F.lit(True)
         for word in choice.lower().split():
-            near = near & F.exists(words, lambda w, word=word: char_distance(w, F.lit(word)) < most)
+            near = near & F.exists(words, _near(word, most))
         hits.append(F.when(near, F.lit(choice)))
     found = F.array_sort(F.filter(F.array(*hits), lambda c: c.isNotNull()))
     return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise("Other")

@@ -1,20 +1,14 @@
-"""Queries over the tables of one data directory."""
+"""All queries but those of the llm subpackage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from gleaner.plans import group_queries, relational_queries, search_queries, value_queries  # noqa: F401  they register their queries
+from gleaner.plans.registry import QUERIES, SQL
 
-from gleaner.operators.units import common_quantities
-from gleaner.sources.tables import read_table
 
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = read_table(spark, sf_dir, "files").select("file_idx", F.col("file_meta")["lang"].alias("lang"))
-    return common_quantities(
-        read_table(spark, sf_dir, "matches"), "hit_id", "answer", "formatted_answer", "header_text", "match_text", "file_idx", langs
-    )
+def queries() -> dict:
+    return dict(QUERIES)
 
 
-def queries() -> dict:
-    return {"p4_found": p4_found}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
