@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators.graph import connected_components
+from gleaner.session import written
 
 SCOPE = ["criteria_uid", "file_idx"]
 
@@ -91,16 +92,18 @@ def grouped(hits: DataFrame) -> DataFrame:
     and location groups with a heading or table stay open for the next step.
     Hits whose criterion has group_flag 'disable' are alone.
     """
+    columns = ["hit_id", *SCOPE, "oid", "parent_oid", "match_idx", "block_type", "group_type", "header_text", "match_text", "answer", "group_flag"]
+    hits = written(hits.select(*columns))  # read by every step
     open_hits = hits.where("coalesce(group_flag, '') <> 'disable'")
-    taken = parent_groups(open_hits).where("group_size > 1").select("hit_id", "group_id", F.lit("parent").alias("kind"))
-    left = open_hits.join(taken.select("hit_id"), "hit_id", "left_anti")
-    located = component_groups(location_edges(left))
+    taken = written(parent_groups(open_hits).where("group_size > 1").select("hit_id", "group_id", F.lit("parent").alias("kind")))
+    left = written(open_hits.join(taken.select("hit_id"), "hit_id", "left_anti"))
+    located = written(component_groups(location_edges(left)))
     mixed = located.join(left.where("block_type in ('header', 'table')").select("hit_id"), "hit_id").select("group_id").distinct()
-    located = located.join(mixed, "group_id", "left_anti").select("hit_id", "group_id", F.lit("location").alias("kind"))
-    left = left.join(located.select("hit_id"), "hit_id", "left_anti")
-    same = same_answer_groups(left).select("hit_id", "group_id", F.lit("same_answer").alias("kind"))
+    located = written(located.join(mixed, "group_id", "left_anti").select("hit_id", "group_id", F.lit("location").alias("kind")))
+    left = written(left.join(located.select("hit_id"), "hit_id", "left_anti"))
+    same = written(same_answer_groups(left).select("hit_id", "group_id", F.lit("same_answer").alias("kind")))
     left = left.join(same.select("hit_id"), "hit_id", "left_anti")
-    similar = component_groups(similar_edges(left)).select("hit_id", "group_id", F.lit("similar_answer").alias("kind"))
+    similar = written(component_groups(similar_edges(left)).select("hit_id", "group_id", F.lit("similar_answer").alias("kind")))
     found = taken.unionByName(located).unionByName(same).unionByName(similar)
     alone = hits.join(found.select("hit_id"), "hit_id", "left_anti").select("hit_id", F.col("hit_id").alias("group_id"), F.lit("single").alias("kind"))
     return found.unionByName(alone)

@@ -16,6 +16,7 @@ from gleaner.operators import scoring as S
 from gleaner.operators.grouping import grouped
 from gleaner.operators.models import overlap_score
 from gleaner.operators.ranking import clamped_scores, final_ranks, ranked_groups, ranked_in_groups, scaled_score, top_per_group, with_default_scores
+from gleaner.session import written
 
 BOOL_TYPE = "bool"
 
@@ -148,9 +149,10 @@ def extract(hits: DataFrame, criteria: Criteria, settings: Settings | None = Non
 
 def rank(hits: DataFrame, topn: int = -1) -> DataFrame:
     """Grouped and ranked hits with final scores."""
-    groups = grouped(hits)
+    hits = written(hits)
+    groups = written(grouped(hits))
     scored = with_default_scores(hits.join(groups, "hit_id")).withColumn("scaled", scaled_score(F.col("block_type") == "table"))
-    placed = ranked_in_groups(scored.join(ranked_groups(scored).drop("group_best"), ["criteria_uid", "file_idx", "group_id"]))
+    placed = written(ranked_in_groups(scored.join(ranked_groups(scored).drop("group_best"), ["criteria_uid", "file_idx", "group_id"])))
     clamped = clamped_scores(placed).select("hit_id", F.col("clamped").alias("final_score"))
     result = final_ranks(placed.join(clamped, "hit_id"))
     return result.where(F.col("group_rank") <= topn) if topn > 0 else result
