@@ -31,7 +31,7 @@ d AS (SELECT *, coalesce(trim(answer) <> '', false) AS answered,
   CASE WHEN block_type = 'table' THEN 0.0 ELSE greatest(match_score, 0.2) * boolq_score * squad_score * qnli_score END AS raw_scaled FROM b),
 g0 AS (SELECT criteria_uid, file_idx, parent_oid, arg_min(hit_id, struct_pack(a := match_idx, b := hit_id)) AS group_id, arg_min(group_type, struct_pack(a := match_idx, b := hit_id)) AS first_type, count(*) AS group_size
   FROM h GROUP BY ALL),
-x AS (SELECT d.*, round(raw_scaled, 6) AS scaled, group_id, group_size FROM d JOIN g0 USING (criteria_uid, file_idx, parent_oid)),
+x AS (SELECT d.*, raw_scaled AS scaled, group_id, group_size FROM d JOIN g0 USING (criteria_uid, file_idx, parent_oid)),
 gr AS (SELECT criteria_uid, file_idx, group_id, bool_or(answered) AS any_answer, coalesce(max(scaled) FILTER (answered), max(scaled)) AS group_best FROM x GROUP BY ALL),
 rg AS (SELECT criteria_uid, file_idx, group_id, group_best, CAST(row_number() OVER (PARTITION BY criteria_uid, file_idx ORDER BY any_answer DESC, group_best DESC, group_id) AS INT) AS group_rank FROM gr),
 y AS (SELECT x.*, group_rank, CAST(row_number() OVER (PARTITION BY x.criteria_uid, x.file_idx, x.group_id ORDER BY oid = parent_oid DESC NULLS LAST,
@@ -44,7 +44,7 @@ def scored_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lookup_join(hits(spark, sf_dir), criteria(spark, sf_dir).select("criteria_uid", "group_flag", "criteria_rank"), "criteria_uid", "hit_id", "inner")
     kept = scores(spark, sf_dir).select("file_idx", "match_idx", "match_score", "file_score", "qnli_score", "squad_score", "boolq_score", "relevancy_score", "raw_match_score")
     defaulted = R.with_default_scores(own.join(kept, ["file_idx", "match_idx"], "left"))
-    return defaulted.withColumn("scaled", F.round(R.scaled_score(F.coalesce(F.col("block_type") == "table", F.lit(False))), 6))
+    return defaulted.withColumn("scaled", R.scaled_score(F.coalesce(F.col("block_type") == "table", F.lit(False))))
 
 
 def ranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +118,9 @@ def all_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.grouped(scored_hits(spark, sf_dir))
 
 
-@query(f"WITH {BASE} SELECT hit_id, round(raw_scaled, 4) AS scaled FROM d")
+@query(f"WITH {BASE} SELECT hit_id, raw_scaled AS scaled FROM d")
 def scaled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_hits(spark, sf_dir).select("hit_id", F.round(R.scaled_score(F.coalesce(F.col("block_type") == "table", F.lit(False))), 4).alias("scaled"))
+    return scored_hits(spark, sf_dir).select("hit_id", "scaled")
 
 
 @query(f"WITH {BASE} SELECT criteria_uid, file_idx, group_id, group_best, group_rank FROM rg")
@@ -152,9 +152,9 @@ c AS (
     CASE WHEN o.group_rank = c.group_rank THEN c.head ELSE
       CASE WHEN c.head < o.scaled THEN greatest(0.0, c.head - 0.01) ELSE o.scaled END END
   FROM c JOIN o ON o.criteria_uid = c.criteria_uid AND o.file_idx = c.file_idx AND o.n = c.n + 1)
-SELECT hit_id, round(clamped, 4) AS clamped FROM c""")
+SELECT hit_id, clamped FROM c""")
 def score_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.clamped_scores(ranked_hits(spark, sf_dir)).select("hit_id", F.round("clamped", 4).alias("clamped"))
+    return R.clamped_scores(ranked_hits(spark, sf_dir)).select("hit_id", "clamped")
 
 
 @query(f"""WITH {BASE} SELECT criteria_uid, file_idx, group_id, string_agg(trim(answer), '; ' ORDER BY place, hit_id) AS answers

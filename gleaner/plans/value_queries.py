@@ -105,11 +105,11 @@ NUMBER_SQL = r"TRY_CAST(nullif(replace(regexp_extract({}, '(-?\d{{1,3}}(?:,\d{{3
 
 
 @query(f"""WITH {HITS}, x AS (SELECT hit_id, answer, {SCALE_SQL} AS scale, CAST({CONTEXT_SQL} AS BIGINT) AS context, {NUMBER_SQL.format('answer')} AS n FROM h WHERE answer IS NOT NULL)
-SELECT hit_id, scale, context, round(n * coalesce(CASE scale {' '.join(f"WHEN '{k}' THEN {float(v)}" for k, v in V.SCALE_FACTORS.items())} END, context), 2) AS amount FROM x""")
+SELECT hit_id, scale, context, round(n * coalesce(CASE scale {' '.join(f"WHEN '{k}' THEN {float(v)}" for k, v in V.SCALE_FACTORS.items())} END, context), 6) AS amount FROM x""")
 def money_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.coalesce("header_text", F.lit(""))
     return hits(spark, sf_dir).where("answer is not null").select(
-        "hit_id", V.scale_of(F.col("answer")).alias("scale"), V.context_factor(header).alias("context"), F.round(V.money_amount(F.col("answer"), header), 2).alias("amount")
+        "hit_id", V.scale_of(F.col("answer")).alias("scale"), V.context_factor(header).alias("context"), F.round(V.money_amount(F.col("answer"), header), 6).alias("amount")
     )
 
 
