@@ -122,8 +122,8 @@ class SpellingMap:
         return {padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)}
 
     @staticmethod
-    def distance(a: str, b: str) -> float:
-        """Edit distance; a doubled letter, a swapped pair and a changed vowel or accent cost half."""
+    def distance(a: str, b: str, half: float = 0.5) -> float:
+        """Edit distance; a doubled letter, a swapped pair and a changed vowel or accent cost ``half``."""
         vowels = set("aeiouyàâäéèêëîïôöùûü")
         rows = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i in range(1, len(a) + 1):
@@ -132,12 +132,12 @@ class SpellingMap:
             rows[0][j] = float(j)
         for i, x in enumerate(a, 1):
             for j, y in enumerate(b, 1):
-                drop = 0.5 if i > 1 and a[i - 2] == x else 1.0
-                add = 0.5 if j > 1 and b[j - 2] == y else 1.0
-                change = 0.0 if x == y else 0.5 if x in vowels and y in vowels else 1.0
+                drop = half if i > 1 and a[i - 2] == x else 1.0
+                add = half if j > 1 and b[j - 2] == y else 1.0
+                change = 0.0 if x == y else half if x in vowels and y in vowels else 1.0
                 best = min(rows[i - 1][j] + drop, rows[i][j - 1] + add, rows[i - 1][j - 1] + change)
                 if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
-                    best = min(best, rows[i - 2][j - 2] + 0.5)
+                    best = min(best, rows[i - 2][j - 2] + half)
                 rows[i][j] = best
         return rows[-1][-1]
 
@@ -155,7 +155,8 @@ class SpellingMap:
             for known, n in shared.items()
             if abs(len(known) - len(word)) <= 2 and 3 * n >= len(own)
         )
-        near = [x for x in near if x[0] <= max(1.0, len(word) / 6)]
+        # a short word may differ in one place, whatever it weighs
+        near = [x for x in near if x[0] <= max(1.0, len(word) / 6) and (len(word) > 7 or self.distance(word, x[1], 1.0) <= 1)]
         return near[0][1] if near and (len(near) == 1 or near[0][0] < near[1][0] or near[0][1].rstrip("s") == near[1][1].rstrip("s")) else word
 
     def __call__(self, spelling: str, exact: bool = False) -> Meaning | None:

@@ -3,7 +3,7 @@
 import pytest
 from conftest import rows
 
-from gleaner.operators.units import SpellingMap, common_quantities, decimal_text, parse_quantity
+from gleaner.operators.units import SpellingMap, common_quantities, decimal_text
 
 SCHEMA = "hit_id long, answer string, formatted string, header string, text string, file_idx string, unit string, rank int"
 CASES = [
@@ -80,4 +80,3 @@ def test_spellings():
     for other in ("tenants", "employees", "claims", "sites", "shares", "section", "", "usd eur"):
         assert spellings(other) is None
     assert spellings("kilogrms", exact=True) is None
-    assert parse_quantity("x 5 y 6") is None
