@@ -35,9 +35,14 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> tuple[np.nd
                 used = min(packs, left)
                 if packs > used:
                     heapq.heappush(open_packs, (total, first + used, packs - used))
-            else:
-                total, first, used = 0, n_packs, left
-                n_packs += left
+            else:  # one by one, each new pack is the shortest until it is full
+                stack = min(capacity // length, left)
+                total, first, used = (stack - 1) * length, n_packs, left // stack
+                n_packs += used
+                for _ in range(stack - 1):
+                    rows.append((length, rank, used, first))
+                    left -= used
+                    rank += used
             rows.append((length, rank, used, first))
             if total + length < capacity:
                 heapq.heappush(open_packs, (total + length, first, used))

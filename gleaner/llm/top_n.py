@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -128,11 +127,8 @@ def _merge_runs(n: int) -> Callable:
                         column.append(value)
                 at[r] += 1
             tree.advance(key(r))
-        yield pa.RecordBatch.from_pandas(
-            pd.DataFrame(dict(zip(("grp", "item", "score", "rank"), out, strict=True))),
-            pa.schema([("grp", pa.string()), ("item", pa.int64()), ("score", pa.float64()), ("rank", pa.int32())]),
-            preserve_index=False,
-        )
+        types = (pa.string(), pa.int64(), pa.float64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["grp", "item", "score", "rank"])
 
     return run
 
