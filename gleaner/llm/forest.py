@@ -20,6 +20,8 @@ SAMPLE_ROWS = 16_384
 CHUNK_ROWS = 32_768
 BLOCK_ROWS = 4_096
 HOT_PARTS = 10_000
+#: So many equal vectors may meet in a leaf.
+FEW_COPIES = 50
 SPARE = 3
 SEED = 3
 #: What one byte per element can be off by in a cosine.
@@ -208,7 +210,7 @@ def _without_copies(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame |
     At most HOT_PARTS vectors can occur in more than 1/HOT_PARTS of the rows.
     """
     counts = rows.groupBy("copy").agg(F.count(F.lit(1)).alias("n"))
-    least = max(1000, rows.count() // HOT_PARTS)
+    least = max(FEW_COPIES, rows.count() // HOT_PARTS)
     hot = written(counts.where(F.col("n") > least).select("copy"))
     if hot.isEmpty():
         return rows, None, None
