@@ -181,3 +181,13 @@ def synonym_variants(text: Column, key: str, others: list[str]) -> Column:
 def split_words(text: str) -> list[str]:
     """``tokens`` of a request's text, on the driver."""
     return re.findall(r"[^\W_]+", text.lower())
+
+
+def before_dash(text: Column) -> Column:
+    """A summary question without the prompt behind its first dash."""
+    return F.trim(F.get(F.split(text, "-", 2), F.lit(0)))
+
+
+def is_word_boundary(char: Column) -> Column:
+    """No letter, digit, dash or underscore."""
+    return ~F.regexp_like(char, F.lit(r"^[\p{L}\p{N}_-]$"))

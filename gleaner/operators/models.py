@@ -58,3 +58,43 @@ def best_per_file(hits: DataFrame, group: list[str], score: str, tie: list[str],
     return hits.drop("has_answer").join(best.select(*keys, F.lit(True).alias("has_answer")), keys, "left").withColumn(
         "has_answer", F.coalesce("has_answer", F.lit(False))
     )
+
+
+def picked_by_logit(labels: list[str], logits: list[Column], least: float = 0.6, default: str = "Other") -> Column:
+    """The labels whose logit passes ``least``, sorted and comma-joined; the default if none does."""
+    kept = F.array_sort(F.filter(F.array(*(F.when(x > least, label) for label, x in zip(labels, logits, strict=True))), lambda v: v.isNotNull()))
+    return F.when(F.size(kept) > 0, F.array_join(kept, ", ")).otherwise(default)
+
+
+def relation_questions(relation: Column) -> tuple[Column, Column]:
+    """Questions for the head and the tail of a relation."""
+    return F.concat(F.lit("who "), relation, F.lit("?")), F.concat(F.lit("what was the object of "), relation, F.lit("?"))
+
+
+def as_triple(head: Column, tail: Column, head_score: Column, tail_score: Column, least: float = 0.3) -> Column:
+    """A relation's ends where both were found with enough probability, else null."""
+    found = (head_score >= least) & (tail_score >= least) & (F.coalesce(head, F.lit("")) != "") & (F.coalesce(tail, F.lit("")) != "")
+    return F.when(found, F.struct(head.alias("head"), tail.alias("tail"), head_score.alias("head_prob"), tail_score.alias("tail_prob")))
+
+
+def entity_answers(pairs: DataFrame, key: list[str], entity: str, answer: str) -> DataFrame:
+    """(key, answer): the answers of a passage's entities as 'entity => answer; ...', by entity."""
+    parts = F.array_sort(F.collect_set(F.concat(F.col(entity), F.lit(" => "), F.col(answer))))
+    return pairs.where(f"{entity} is not null and coalesce({answer}, '') <> ''").groupBy(*key).agg(F.array_join(parts, "; ").alias(answer))
+
+
+def near_words(words: DataFrame, asked: DataFrame, word: str = "word", least: float = 0.6) -> DataFrame:
+    """(word, asked, similarity): distinct words that share enough of their trigrams with a query word, itself excepted.
+
+    A stand-in for the similarity of word vectors. Words meet over shared
+    trigrams; both sides are vocabularies, not texts.
+    """
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        padded = F.concat(F.lit("^"), F.col(word), F.lit("$"))
+        own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+        rows = df.select(word).where(F.length(word) >= 3).distinct().select(F.col(word).alias(name), own.alias("grams"))
+        return rows.select(name, F.size("grams").alias(f"{name}_n"), F.explode("grams").alias("gram"))
+
+    pairs = grams(words, "word").join(grams(asked, "asked"), "gram").groupBy("word", "asked", "word_n", "asked_n").agg(F.count(F.lit(1)).alias("n"))
+    similarity = F.round(2 * F.col("n") / (F.col("word_n") + F.col("asked_n")), 4)
+    return pairs.where("word <> asked").select("word", "asked", similarity.alias("similarity")).where(F.col("similarity") >= least)

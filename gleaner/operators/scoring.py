@@ -126,3 +126,46 @@ def relevancy(text: Column, templates: Column, is_table: Column, base: float = 0
 
     best = F.coalesce(F.array_max(F.transform(templates, share)), F.lit(0.0))
     return start + (1 - start) * best
+
+
+def entity_clause(entity_types: Column, wanted: list[str], weight: float = 2.0) -> Column:
+    """Weight for every wanted type among the blank-separated types of a passage."""
+    held = F.split(F.coalesce(entity_types, F.lit("")), r"\s+")
+    return total([F.when(F.array_contains(held, w), weight).otherwise(0.0) for w in wanted])
+
+
+def key_value_boost(padded: Column, length: Column, texts: list[str], stats: FieldStats) -> Column:
+    """Phrase score over a passage's key-value field, with weights of twice those of the text."""
+    grams = {g.words: g for t in texts for g in query_grams(t, 2.0)}
+    return ngram_score(padded, length, list(grams.values()), stats)
+
+
+def quoted_boost(padded: Column, phrases: list[str], stats: FieldStats, length: Column, weight: float = 2.0) -> Column:
+    """Weighted score of whole quoted phrases."""
+    return total([weight * phrase_score(padded, length, tuple(T.split_words(p)), stats) for p in phrases if T.split_words(p)])
+
+
+def boosted(score: Column, boosters: list[Column]) -> Column:
+    """A matching score plus its boosters; without match there is no score."""
+    return F.when(score.isNotNull(), score + total([F.coalesce(b, F.lit(0.0)) for b in boosters]))
+
+
+def use_dynamic_boosters(is_question: bool, enabled_for_questions: bool = False) -> bool:
+    return enabled_for_questions or not is_question
+
+
+def table_scores(index_scores: DataFrame) -> DataFrame:
+    """(table_id, score): the best column of each table by the sum of its entries' scores (table_id, column, score)."""
+    columns = index_scores.groupBy("table_id", "column").agg(F.sum("score").alias("score"))
+    return columns.groupBy("table_id").agg(F.max("score").alias("score"))
+
+
+def page_info(total_hits: int, offset: int, size: int) -> dict[str, int]:
+    """Pagination of a result; a page beyond the end is empty."""
+    shown = max(0, min(size, total_hits - offset))
+    return {"total": total_hits, "offset": offset, "size": size, "shown": shown}
+
+
+def with_fallback(narrow: DataFrame, wide: DataFrame) -> DataFrame:
+    """The narrow result if it has a row, else the wide one: for filters that are dropped where they leave nothing."""
+    return wide if narrow.isEmpty() else narrow

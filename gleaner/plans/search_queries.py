@@ -12,7 +12,7 @@ from gleaner.operators import filters as X
 from gleaner.operators import scoring as S
 from gleaner.operators.context import context_window, expand_children, qa_text, with_parent
 from gleaner.operators.joins import lookup_join
-from gleaner.operators.models import best_per_file, overlap_score
+from gleaner.operators.models import best_per_file, near_words, overlap_score
 from gleaner.operators.ranking import top_per_group
 from gleaner.plans.registry import HITS, SCORES, query, sql_padded, sql_tokens, sql_words
 from gleaner.plans.request import Criteria, Settings, apply, passage_columns
@@ -349,6 +349,24 @@ def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hit_id", F.round(overlap_score(F.coalesce("question", F.lit("")), F.coalesce("match_text", F.lit(""))), 4).alias("score"))
 
 
+def _sql_grams(source: str, name: str) -> str:
+    return f"""SELECT DISTINCT w AS {name}, unnest(list_distinct(list_transform(range(1, length(w) + 1), lambda i: substring('^' || w || '$', i, 3)))) AS gram FROM {source} WHERE length(w) >= 3"""
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest({sql_tokens('match_text')}) AS w FROM matches), q AS (SELECT DISTINCT unnest({sql_tokens('question')}) AS w FROM criteria),
+a AS ({_sql_grams('w', 'word')}), b AS ({_sql_grams('q', 'asked')}), an AS (SELECT word, count(*) AS n FROM a GROUP BY 1), bn AS (SELECT asked, count(*) AS n FROM b GROUP BY 1),
+p AS (SELECT word, asked, count(*) AS c FROM a JOIN b USING (gram) WHERE word <> asked GROUP BY ALL)
+SELECT word, asked, round(2 * c / (an.n + bn.n), 4) AS similarity FROM p JOIN an USING (word) JOIN bn USING (asked) WHERE round(2 * c / (an.n + bn.n), 4) >= 0.6""")
+def semantic_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda df, c: df.select(F.explode(T.tokens(F.col(c))).alias("word"))
+    return near_words(words(read_table(spark, sf_dir, "matches"), "match_text"), words(criteria(spark, sf_dir), "question"))
+
+
+@query(f"""WITH {HITS} SELECT hit_id, 2.0 * (len(list_filter(['NUM:money', 'ORG'], lambda t: list_contains(regexp_split_to_array(entity_types, '\\s+'), t)))) AS score FROM h WHERE list_has_any(regexp_split_to_array(entity_types, '\\s+'), ['NUM:money', 'ORG'])""")
+def answer_type_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(spark, sf_dir).select("hit_id", S.entity_clause(F.col("entity_types"), ["NUM:money", "ORG"]).alias("score")).where("score > 0")
+
+
 @query()
 def ranked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline for one ad-hoc request of two criteria."""
