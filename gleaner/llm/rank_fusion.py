@@ -110,11 +110,12 @@ def fuse_rankings(
     schema = ", ".join(
         [*(f"{c} {kinds[c]}" for c in ("grp", *named)), "n_items long", *(f"rank_{i} double" for i in range(m)), "rho double", "position long"]
     )
-    items = rows.groupBy("grp", *named).agg(*(F.max(c).alias(c) for c in values))
-    small = items.where(~F.col("grp").isin(hot)) if hot else items
-    fused = small.repartition("grp").mapInArrow(_fuse(m, n_keys), schema)
+    once = lambda d: d.groupBy("grp", *named).agg(*(F.max(c).alias(c) for c in values))
+    small = rows.where(~F.col("grp").isin(hot)) if hot else rows
+    # one shuffle: rows of a group are together, so are those of an item
+    fused = once(small.repartition("grp")).mapInArrow(_fuse(m, n_keys), schema)
     if hot:
-        fused = fused.unionByName(_fuse_hot(items.where(F.col("grp").isin(hot)), [*named], m))
+        fused = fused.unionByName(_fuse_hot(once(rows.where(F.col("grp").isin(hot))), [*named], m))
     return fused.select(
         F.col("grp").alias(group),
         *(F.col(f"k{i}").cast(df.schema[k].dataType).alias(k) for i, k in enumerate(keys)),
