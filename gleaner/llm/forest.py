@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gleaner.session import written
 
-TREES = 3
-PROBES = 10
+TREES = 4
+PROBES = 16
 LEAF_ROWS = 256
 MAX_DEPTH = 10
 SAMPLE_ROWS = 16_384
@@ -235,6 +235,7 @@ def candidates(
     chosen = rows if part == 1.0 else rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(part * 1_000_000))
     sample = chosen.select("vec").limit(2 * SAMPLE_ROWS).toArrow()
     x = unit(sample.column(0).combine_chunks().flatten().to_numpy().astype(np.float32).reshape(-1, d)) if sample.num_rows else np.zeros((0, d), np.float32)
+    x = x[np.lexsort(x.T)]  # the same trees whatever order the rows come in
     depth = int(np.clip(np.ceil(np.log2(max(1, n) / LEAF_ROWS)), 0, MAX_DEPTH))
     forest = fit_trees(x, trees if depth else 1, depth, seed)
     shared = df.sparkSession.sparkContext.broadcast(forest)  # at most trees * 2**MAX_DEPTH vectors
