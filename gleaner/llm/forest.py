@@ -23,6 +23,7 @@ HOT_PARTS = 10_000
 #: So many equal vectors may meet in a leaf.
 FEW_COPIES = 50
 SPARE = 3
+OPEN_SPARE = 5
 SEED = 3
 #: What one byte per element can be off by in a cosine.
 ROUNDING = 0.01
@@ -277,6 +278,10 @@ def similar_vectors(
     copies have the lowest of them as neighbours.
     """
     found, rows, left_out, kept = candidates(df, id, vector, d, k, min_cosine, trees, probes)
+    if min_cosine <= -1:  # every vector has candidates: only the best by the rounded cosine are reranked
+        best = found.groupBy("a", "b").agg(F.max("near").alias("near"))
+        turn = F.row_number().over(W.partitionBy("a").orderBy(F.col("near").desc(), "b"))
+        found = best.withColumn("turn", turn).where(F.col("turn") <= k + OPEN_SPARE)
     pairs = exact_pairs(found, rows, min_cosine)
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(
         pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine")
