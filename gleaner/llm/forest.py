@@ -27,6 +27,15 @@ OPEN_SPARE = 5
 SEED = 3
 #: What one byte per element can be off by in a cosine.
 ROUNDING = 0.01
+#: Vectors whose true neighbours are sought before a forest is used.
+QUERIES = 1_024
+#: The visited leaves must hold this share of those neighbours, with ``MOST_PROBES`` visits at most; else all vectors are compared.
+RECALL = 0.98
+MOST_PROBES = 64
+TILE_ROWS = 16_384
+STRIP_ROWS = 512
+#: The largest cosine of so many members each gives a bound for the k-th largest of all.
+BOUND_ROWS = 64
 
 
 def fit_trees(sample: np.ndarray, trees: int, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +138,141 @@ def nearest_in_block(
     return found
 
 
+def nearest_of_all(
+    ids: np.ndarray, x: np.ndarray, own: np.ndarray, own_x: np.ndarray, k: int, floor: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, cosine) of the ``k`` most similar members of each query, from ``floor`` on, each compared with all members; not the query itself."""
+    found = []
+    parts = len(own) // BOUND_ROWS
+    for at in range(0, len(ids), STRIP_ROWS):
+        cosines = x[at : at + STRIP_ROWS] @ own_x.T
+        least = np.full(len(cosines), max(floor, -1.5), dtype=np.float32)
+        if parts > k:  # k + 1 parts hold a member from here on, and one of these may be the query
+            tops = cosines[:, : parts * BOUND_ROWS].reshape(len(cosines), parts, BOUND_ROWS).max(axis=2)
+            least = np.maximum(least, np.partition(tops, parts - k - 1, axis=1)[:, parts - k - 1])
+        q, m = np.divmod(np.flatnonzero(cosines >= least[:, None]), len(own))
+        other = ids[at + q] != own[m]
+        q, m = q[other], m[other]
+        near = cosines[q, m]
+        order = np.lexsort((own[m], -near, q))
+        q, m, near = q[order], m[order], near[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, dtype=np.int64)
+        place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        found.append((ids[at + q[place < k]], own[m[place < k]], near[place < k]))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], d: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of about ``chunk`` rows at a time."""
+    held_ids, held_x, rows = [], [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held_ids.append(batch.column(0).to_numpy())
+        held_x.append(unit(batch.column(1).flatten().to_numpy().astype(np.float32).reshape(-1, d)))
+        rows += batch.num_rows
+        if rows >= chunk:
+            yield np.concatenate(held_ids), np.concatenate(held_x)
+            held_ids, held_x, rows = [], [], 0
+    if rows:
+        yield np.concatenate(held_ids), np.concatenate(held_x)
+
+
+def _coded(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+
+
+def enough_visits(rows: DataFrame, n: int, forest: tuple[np.ndarray, np.ndarray], d: int, k: int, floor: float, least: int) -> int | None:
+    """The visits, from ``least`` on by doubling, with which a sample's vectors reach ``RECALL`` of their ``k`` nearest; None if ``MOST_PROBES`` don't.
+
+    The sample is compared with every row; a neighbour counts where a leaf
+    that holds it is visited from the sample's side.
+    """
+    part = min(1.0, QUERIES / max(1, n))
+    drawn = F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(1_000_000)) < max(1, int(part * 1_000_000))
+    sample = rows.where(drawn).select("id", "vec").limit(4 * QUERIES).toArrow()
+    if not sample.num_rows:
+        return least
+    ids, first = np.unique(sample.column(0).to_numpy(), return_index=True)
+    x = unit(sample.column(1).combine_chunks().flatten().to_numpy().astype(np.float32).reshape(-1, d))[first]
+    shared = rows.sparkSession.sparkContext.broadcast((ids, x))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, own_x in _chunks(batches, d, CHUNK_ROWS // 2):
+            own, at = np.unique(own, return_index=True)
+            own_x = own_x[at]
+            a, b, near = nearest_of_all(*shared.value, own, own_x, k, floor)
+            vectors = own_x[np.searchsorted(own, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["a", "b", "near", "vec"])
+
+    turn = F.row_number().over(W.partitionBy("a").orderBy(F.col("near").desc(), "b"))
+    nearest = rows.select("id", "vec").mapInArrow(compare, "a long, b long, near float, vec binary").withColumn("turn", turn).where(F.col("turn") <= k)
+    true = nearest.select("a", "vec").toArrow()  # k rows for each of the sample
+    shared.unpersist()
+    if not true.num_rows:
+        return least
+    query = np.searchsorted(ids, true.column(0).to_numpy())
+    others = np.frombuffer(b"".join(true.column(1).to_pylist()), np.float32).reshape(-1, d)
+    trees, leaves = len(forest[0]), len(forest[0]) * (forest[0].shape[1] + 1)
+    homes = []
+    for i in range(0, len(others), 1024):
+        at, home = visit_order(others[i : i + 1024], forest, trees)
+        homes.append(at[home].reshape(-1, trees))
+    homes = np.concatenate(homes)
+    visits = least
+    while True:
+        visited = np.zeros((len(x), leaves), dtype=bool)
+        for i in range(0, len(x), 1024):
+            np.put_along_axis(visited[i : i + 1024], visit_order(x[i : i + 1024], forest, visits)[0], True, axis=1)
+        if visited[query[:, None], homes].any(axis=1).mean() >= RECALL:
+            return visits
+        if 2 * visits > max(MOST_PROBES, least):
+            return None
+        visits *= 2
+
+
+def all_nearest(rows: DataFrame, n: int, d: int, k: int, floor: float) -> DataFrame:
+    """(a, b, near): the ``k`` nearest of each vector within every tile; the tiles hold all pairs of vectors."""
+    groups = max(1, int(np.ceil(n / TILE_ROWS)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _chunks(batches, d, CHUNK_ROWS):
+            mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            group = ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+            codes = _coded(x)
+            for g in np.unique(group):
+                at = np.flatnonzero(group == g)
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([ids[at].tobytes()], pa.binary()), pa.array([codes[at].tobytes()], pa.binary())], names=["part", "ids", "codes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles: dict[int, dict[int, list]] = {}
+        for batch in batches:
+            for tile, part, ids, codes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tiles.setdefault(tile, {}).setdefault(part, []).append((np.frombuffer(ids, np.int64), np.frombuffer(codes, np.int8).reshape(-1, d)))
+        for tile in list(tiles):
+            sides = []
+            for held in tiles.pop(tile).values():
+                ids, first = np.unique(np.concatenate([i for i, _ in held]), return_index=True)
+                sides.append((ids, unit(np.concatenate([c for _, c in held])[first].astype(np.float32))))
+            alone = tile // groups == tile % groups
+            for one, other in [(sides[0], sides[0])] if alone else [(sides[0], sides[1]), (sides[1], sides[0])] if len(sides) == 2 else []:
+                a, b, near = nearest_of_all(*one, *other, k, floor)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], names=["a", "b", "near"])
+
+    packs = rows.select("id", "vec").mapInArrow(packed, "part long, ids binary, codes binary")
+    tile = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.least(o, F.col("part")) * groups + F.greatest(o, F.col("part")))
+    tasks = min(groups * (groups + 1) // 2, 10_000)
+    tiles = packs.select(F.explode(tile).alias("tile"), "part", "ids", "codes").repartition(tasks, "tile")
+    return tiles.mapInArrow(compare, "a long, b long, near float")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The best candidates of each vector by the rounded cosine."""
+    best = found.groupBy("a", "b").agg(F.max("near").alias("near"))
+    turn = F.row_number().over(W.partitionBy("a").orderBy(F.col("near").desc(), "b"))
+    return best.withColumn("turn", turn).where(F.col("turn") <= k + OPEN_SPARE)
+
+
 def _scatter(forest: tuple[np.ndarray, np.ndarray], visits: int, d: int, chunk: int) -> Callable:
     """Vectors, one byte per element, packed by the leaf they visit."""
 
@@ -136,7 +280,7 @@ def _scatter(forest: tuple[np.ndarray, np.ndarray], visits: int, d: int, chunk:
         leaves, home = visit_order(x, forest, visits) if len(x) <= 4096 else tuple(
             np.concatenate(parts) for parts in zip(*(visit_order(x[i : i + 4096], forest, visits) for i in range(0, len(x), 4096)), strict=True)
         )
-        codes = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+        codes = _coded(x)
         row = np.repeat(np.arange(len(x)), leaves.shape[1])
         leaf, home = leaves.reshape(-1), home.reshape(-1)
         order = np.lexsort((~home, leaf))
@@ -155,18 +299,8 @@ def _scatter(forest: tuple[np.ndarray, np.ndarray], visits: int, d: int, chunk:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_ids, held_x, rows = [], [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held_ids.append(batch.column(0).to_numpy())
-            held_x.append(unit(batch.column(1).flatten().to_numpy().astype(np.float32).reshape(-1, d)))
-            rows += batch.num_rows
-            if rows >= chunk:
-                yield flush(np.concatenate(held_ids), np.concatenate(held_x))
-                held_ids, held_x, rows = [], [], 0
-        if rows:
-            yield flush(np.concatenate(held_ids), np.concatenate(held_x))
+        for ids, x in _chunks(batches, d, chunk):
+            yield flush(ids, x)
 
     return run
 
@@ -239,13 +373,19 @@ def candidates(
     x = x[np.lexsort(x.T)]  # the same trees whatever order the rows come in
     depth = int(np.clip(np.ceil(np.log2(max(1, n) / LEAF_ROWS)), 0, MAX_DEPTH))
     forest = fit_trees(x, trees if depth else 1, depth, seed)
+    near = floor - ROUNDING if floor > -1 else floor
+    if k is not None and depth:
+        visits = enough_visits(rows, n, forest, d, k, floor, probes)
+        if visits is None:
+            return _best(all_nearest(rows, n, d, k + SPARE, near), k), rows, left_out, kept
+        probes = visits
     shared = df.sparkSession.sparkContext.broadcast(forest)  # at most trees * 2**MAX_DEPTH vectors
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _scatter(shared.value, probes, d, CHUNK_ROWS)(batches)
 
     packed = rows.mapInArrow(scatter, "leaf int, homes long, ids binary, codes binary").repartition("leaf")
-    found = packed.mapInArrow(_search(d, None if k is None else k + SPARE, floor - ROUNDING if floor > -1 else floor), "a long, b long, near float")
+    found = packed.mapInArrow(_search(d, None if k is None else k + SPARE, near), "a long, b long, near float")
     return found, rows, left_out, kept
 
 
@@ -271,17 +411,17 @@ def similar_vectors(
 
     The trees are fitted on a sample of about ``SAMPLE_ROWS`` vectors, every
     vector is indexed. Each lies in one leaf of every tree and visits the
-    ``probes`` leaves of all trees whose turn in the shared queue comes first;
-    the leaves' best candidates are reranked by the exact cosine. Vectors
+    ``probes`` leaves of all trees whose turn in the shared queue comes first,
+    more where a sample's true neighbours are not found by these; where
+    ``MOST_PROBES`` don't do either, all vectors are compared, tile by tile.
+    The best candidates are reranked by the exact cosine. Vectors
     travel as one byte per element. Where one vector is repeated in a large
     part of all rows, its ``k + 1`` lowest ids stand for it, and the other
     copies have the lowest of them as neighbours.
     """
     found, rows, left_out, kept = candidates(df, id, vector, d, k, min_cosine, trees, probes)
     if min_cosine <= -1:  # every vector has candidates: only the best by the rounded cosine are reranked
-        best = found.groupBy("a", "b").agg(F.max("near").alias("near"))
-        turn = F.row_number().over(W.partitionBy("a").orderBy(F.col("near").desc(), "b"))
-        found = best.withColumn("turn", turn).where(F.col("turn") <= k + OPEN_SPARE)
+        found = _best(found, k)
     pairs = exact_pairs(found, rows, min_cosine)
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(
         pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine")

@@ -200,6 +200,18 @@ def test_similar_vectors_recall_and_exactness(spark, monkeypatch):
     assert similar_vectors(df.limit(0), "query_id", "v").count() == 0
 
 
+def test_neighbours_that_few_leaves_hold_are_found(spark, monkeypatch):
+    monkeypatch.setattr("gleaner.llm.forest.LEAF_ROWS", 8)
+    monkeypatch.setattr("gleaner.llm.forest.TILE_ROWS", 700)
+    x = np.random.default_rng(7).normal(size=(4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "query_id long, v array<float>")
+    c = unit(x) @ unit(x).T
+    np.fill_diagonal(c, -2)
+    true = {(i, int(j)) for i in range(len(c)) for j in np.argsort(-c[i], kind="stable")[:5]}
+    found = {(r["id"], r["other"]) for r in similar_vectors(df, "query_id", "v", k=5).collect()}
+    assert len(found) == 20000 and len(found & true) >= 0.99 * len(true)
+
+
 def test_many_copies_of_one_vector(spark):
     copies = spark.range(1500).select(F.col("id").alias("query_id"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("v"))
     got = similar_vectors(copies, "query_id", "v", k=3, min_cosine=0.9).collect()
