@@ -212,6 +212,20 @@ def test_neighbours_that_few_leaves_hold_are_found(spark, monkeypatch):
     assert len(found) == 20000 and len(found & true) >= 0.99 * len(true)
 
 
+def test_near_copies_of_a_third_of_the_rows_are_found(spark, monkeypatch):
+    monkeypatch.setattr("gleaner.llm.forest.LEAF_ROWS", 8)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4500, 64))
+    x[::3] = rng.normal(size=64) + 0.22 * x[::3]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "query_id long, v array<float>")
+    c = unit(x) @ unit(x).T
+    np.fill_diagonal(c, -2)
+    true = {(i, int(j)) for i in range(len(c)) for j in np.argsort(-c[i], kind="stable")[:5] if c[i, j] >= 0.9}
+    found = {(r["id"], r["other"]) for r in similar_vectors(df, "query_id", "v", k=5, min_cosine=0.9).collect()}
+    assert len(true) > 7000 and len(found & true) >= 0.97 * len(true)
+
+
 def test_many_copies_of_one_vector(spark):
     copies = spark.range(1500).select(F.col("id").alias("query_id"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("v"))
     got = similar_vectors(copies, "query_id", "v", k=3, min_cosine=0.9).collect()
