@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 
 
-def phrases(text: Column, stop: list[str] | None = None, least: int = 1, most: int = 4) -> Column:
-    """Runs of words between stop words and punctuation, of ``least`` to ``most`` words."""
+def phrases(text: Column, stop: list[str] | None = None, least: int = 1, most: int | None = None) -> Column:
+    """Runs of words between stop words and punctuation, of ``least`` to ``most`` (None: any number of) words."""
     pieces = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}\s])"), F.lit(1))
     cut = F.transform(pieces, lambda p: F.when(F.regexp_like(p, F.lit(r"^[^\p{L}\p{N}]")) | T.one_of(p, stop or T.STOP_WORDS), "|").otherwise(p))
     runs = F.transform(F.split(F.array_join(cut, " "), r"\|"), lambda r: F.trim(r))
     length = lambda r: F.size(F.split(r, " "))
-    return F.filter(runs, lambda r: (r != "") & (length(r) >= least) & (length(r) <= most) & ~F.regexp_like(r, F.lit(r"^[\p{N} ]+$")))
+    short = lambda r: F.lit(True) if most is None else length(r) <= most
+    return F.filter(runs, lambda r: (r != "") & (length(r) >= least) & short(r) & ~F.regexp_like(r, F.lit(r"^[\p{N} ]+$")))
 
 
-def distinct_phrases(texts: DataFrame, text: str, stop: list[str] | None = None, least: int = 1, most: int = 4) -> DataFrame:
+def distinct_phrases(texts: DataFrame, text: str, stop: list[str] | None = None, least: int = 1, most: int | None = None) -> DataFrame:
     return texts.select(F.explode(F.array_distinct(phrases(F.col(text), stop, least, most))).alias("phrase")).distinct()
 
 

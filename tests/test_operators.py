@@ -68,6 +68,11 @@ def test_phrases(spark):
     assert got(2, 2) == {"red apples"}
 
 
+def test_long_phrases_are_kept(spark):
+    df = spark.createDataFrame([("net annual base rent per month of office",)], "t string")
+    assert {r[0] for r in distinct_phrases(df, "t", ["of"]).collect()} == {"net annual base rent per month", "office"}
+
+
 @pytest.mark.parametrize("start, end, kept", [(1, 3, {0, 1, 2}), (-2, -1, {8, 9}), (2, -1, set(range(10))), (-1, -1, set(range(10))), (0, 0, set(range(10)))])
 def test_page_ranges(spark, start, end, kept):
     pages = spark.range(10).select(F.col("id").cast("int").alias("p"))
