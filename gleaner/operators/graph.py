@@ -32,4 +32,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if tuple(now) == state:
             break
         state = tuple(now)
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return nodes.join(current, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))

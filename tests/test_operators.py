@@ -159,6 +159,12 @@ def test_long_chain_is_one_component(spark):
     assert connected_components(edges).select("component").distinct().collect()[0][0] == 0
 
 
+def test_unsettled_components_are_an_error(spark):
+    edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    with pytest.raises(RuntimeError):
+        connected_components(edges, max_rounds=1).count()
+
+
 def test_running_sums_and_ranks(spark):
     rng = random.Random(3)
     data = [(rng.choice(["hot", "hot", "x", None]), i, rng.randint(0, 5), float(rng.randint(0, 9))) for i in range(300)]
