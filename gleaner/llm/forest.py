@@ -15,24 +15,27 @@ from gleaner.session import written
 TREES = 4
 PROBES = 16
 LEAF_ROWS = 256
-MAX_DEPTH = 10
+#: Trees are broadcast, so they have at most 2**MAX_DEPTH leaves; beyond, leaves grow and are still compared whole.
+MAX_DEPTH = 12
+#: All margins of a level are taken at once while the trees have so many nodes there; deeper, only those of branches that can still be visited.
+WIDE_NODES = 2_048
 SAMPLE_ROWS = 16_384
 CHUNK_ROWS = 32_768
+#: A task compares the leaves of a tree that follow each other and hold about so many rows.
+BUCKET_ROWS = 65_536
+PART_ROWS = 16_384
 BLOCK_ROWS = 4_096
 HOT_PARTS = 10_000
 #: So many equal vectors may meet in a leaf.
 FEW_COPIES = 50
 SPARE = 3
-OPEN_SPARE = 5
 SEED = 3
-#: What one byte per element can be off by in a cosine.
-ROUNDING = 0.01
+#: What two bytes per element can be off by in a cosine.
+ROUNDING = 0.001
 #: Vectors whose true neighbours are sought before a forest is used.
 QUERIES = 1_024
-#: The visited leaves must hold this share of those neighbours, with ``MOST_PROBES`` visits at most; else all vectors are compared.
-RECALL = 0.98
-MOST_PROBES = 64
-TILE_ROWS = 16_384
+#: The visited leaves must hold this share of those neighbours, or all of them where a least cosine is asked for.
+RECALL = 0.96
 STRIP_ROWS = 512
 #: The largest cosine of so many members each gives a bound for the k-th largest of all.
 BOUND_ROWS = 64
@@ -65,77 +68,97 @@ def fit_trees(sample: np.ndarray, trees: int, depth: int, seed: int) -> tuple[np
 def visit_order(x: np.ndarray, forest: tuple[np.ndarray, np.ndarray], visits: int) -> tuple[np.ndarray, np.ndarray]:
     """For each vector the ``visits`` leaves that a queue shared by all trees gives out first, and which of them hold the vector.
 
-    The queue holds branches by the smallest signed margin on their path, best
-    first; the leaf that holds the vector has a path without negative margins.
-    A leaf's turn in the queue is its path's smallest margin, so a whole batch
-    is served by taking the largest ones.
+    The queue holds branches by the sum of the squared distances to those
+    planes on their path beyond which the vector doesn't lie; the nearer side
+    keeps its branch's turn, so a branch's turn is that of its best leaf. The first
+    ``visits`` leaves therefore lie below the first ``visits`` branches of every
+    level, and a batch is served by keeping just these, level by level.
     """
     normals, offsets = forest
     trees, nodes, d = normals.shape
-    margins = (x @ normals.reshape(-1, d).T - offsets.reshape(-1)).reshape(len(x), trees, nodes)
-    turn = np.full((len(x), trees, 1), np.inf, dtype=np.float32)
+    depth = (nodes + 1).bit_length() - 1
+    visits = min(max(visits, trees), trees << depth)
+    turn = np.zeros((len(x), trees, 1), dtype=np.float32)
     home = np.zeros((len(x), trees), dtype=np.int64)
-    width = 1
-    while 2 * width - 1 <= nodes:
-        level = margins[:, :, width - 1 : 2 * width - 1]
-        right = np.take_along_axis(level, home[:, :, None], axis=2)[:, :, 0] > 0
-        turn = np.stack([np.minimum(turn, -level), np.minimum(turn, level)], axis=3).reshape(len(x), trees, 2 * width)
+    level = 0
+    while level < depth and trees << (level + 1) <= max(WIDE_NODES, 2 * visits):
+        at = slice((1 << level) - 1, (2 << level) - 1)
+        margin = (x @ normals[:, at].reshape(-1, d).T - offsets[:, at].reshape(-1)).reshape(len(x), trees, -1)
+        right = np.take_along_axis(margin, home[:, :, None], axis=2)[:, :, 0] > 0
+        turn = (turn[..., None] - np.maximum(np.stack([margin, -margin], axis=3), 0) ** 2).reshape(len(x), trees, -1)
         home = 2 * home + right
-        width *= 2
-    home += np.arange(trees) * width
-    turn = turn.reshape(len(x), trees * width)
-    np.put_along_axis(turn, home, np.inf, axis=1)  # also where a margin is 0
-    visits = min(max(visits, trees), trees * width)
-    leaves = np.argpartition(-turn, visits - 1, axis=1)[:, :visits] if visits < trees * width else np.tile(np.arange(trees * width), (len(x), 1))
-    return leaves, np.isposinf(np.take_along_axis(turn, leaves, axis=1))
+        level += 1
+    width = 1 << level
+    np.put_along_axis(turn, home[:, :, None], np.inf, axis=2)  # also where a margin is 0
+    turn = turn.reshape(len(x), -1)
+    keep = min(visits, trees * width)
+    node = np.argpartition(-turn, keep - 1, axis=1)[:, :keep] if keep < trees * width else np.tile(np.arange(trees * width), (len(x), 1))
+    turn = np.take_along_axis(turn, node, axis=1)
+    tree, node = node >> level, node & (width - 1)
+    while level < depth:
+        at = (1 << level) - 1 + node
+        margin = np.einsum("qvd,qd->qv", normals[tree, at], x) - offsets[tree, at]
+        own = np.isposinf(turn)
+        turn = np.minimum(turn, 0)
+        left = np.where(own & (margin <= 0), np.inf, turn - np.maximum(margin, 0) ** 2)
+        right = np.where(own & (margin > 0), np.inf, turn - np.maximum(-margin, 0) ** 2)
+        turn, tree, node = np.concatenate([left, right], axis=1), np.tile(tree, 2), np.concatenate([2 * node, 2 * node + 1], axis=1)
+        level += 1
+        if turn.shape[1] > visits:
+            first = np.argpartition(-turn, visits - 1, axis=1)[:, :visits]
+            turn, tree, node = (np.take_along_axis(c, first, axis=1) for c in (turn, tree, node))
+    return (tree << depth) + node, np.isposinf(turn)
+
+
+def _visits(x: np.ndarray, forest: tuple[np.ndarray, np.ndarray], visits: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = max(64, min(4_096, 8_000_000 // (max(visits, WIDE_NODES) * 4)))
+    parts = [visit_order(x[i : i + rows], forest, visits) for i in range(0, len(x), rows)]
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
-def nearest_in_block(
-    ids: np.ndarray, x: np.ndarray, own: np.ndarray, own_x: np.ndarray, k: int | None, floor: float, depth: int = 0
-) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (query, member, cosine) of the ``k`` (None: all) most similar members of each query, from ``floor`` on.
+def pairs_in_block(
+    ids: np.ndarray, x: np.ndarray, own: np.ndarray, own_x: np.ndarray, k: int | None, floor: float
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (place of a query, place of a member, cosine) from ``floor`` on; with ``k`` at least those among the ``k`` best of either.
 
-    A block with too many members for one matrix is cut by a tree of its own.
+    ``own`` is sorted. Every query is compared with every member, however many there are.
     """
-    if len(own) > BLOCK_ROWS and depth < 4:
-        levels = max(1, int(np.ceil(np.log2(len(own) / (BLOCK_ROWS / 2)))))
-        forest = fit_trees(own_x[:: max(1, len(own) // SAMPLE_ROWS)], 1, levels, SEED + depth)
-        member_leaf = visit_order(own_x, forest, 1)[0][:, 0]
-        leaves, _ = visit_order(x, forest, 3)
-        found = []
-        for leaf in range(2**levels):
-            m = np.flatnonzero(member_leaf == leaf)
-            q = np.flatnonzero((leaves == leaf).any(axis=1))
-            if len(m) and len(q):
-                found += nearest_in_block(ids[q], x[q], own[m], own_x[m], k, floor, depth + (len(m) > 0.9 * len(own)))
-        return found
-    found = []
     for at in range(0, len(ids), 1024):
         for col in range(0, len(own), BLOCK_ROWS):
-            members = own[col : col + BLOCK_ROWS]
             cosines = x[at : at + 1024] @ own_x[col : col + BLOCK_ROWS].T
-            cosines[ids[at : at + 1024, None] == members[None, :]] = -2
-            if k is not None and floor <= -1:
-                take = min(k, len(members))
-                top = np.argpartition(-cosines, take - 1, axis=1)[:, :take]
-                q = np.repeat(np.arange(len(cosines)), take)
-                m = top.reshape(-1)
-                keep = cosines[q, m] > -1.5
-                q, m = q[keep], m[keep]
-            else:
-                q, m = np.nonzero(cosines >= max(floor, -1.5))
-                if k is not None and len(q):
-                    order = np.lexsort((-cosines[q, m], q))
-                    q, m = q[order], m[order]
-                    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-                    place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-                    q, m = q[place < k], m[place < k]
-            found.append((ids[at + q], members[m], cosines[q, m]))
-    return found
+            rows, cols = cosines.shape
+            place = np.searchsorted(own[col : col + BLOCK_ROWS], ids[at : at + 1024])
+            same = np.flatnonzero(own[np.minimum(col + place, len(own) - 1)] == ids[at : at + 1024])
+            same = same[place[same] < cols]
+            cosines[same, place[same]] = -2
+            q, m = np.nonzero(cosines >= floor) if k is None or floor > -1 else ((), ())
+            if k is not None and (floor <= -1 or len(q) > 2 * k * (rows + cols)):
+                by_query, by_member = min(k, cols), min(k, rows)
+                q = np.repeat(np.arange(rows), by_query)
+                m = np.argpartition(cosines, cols - by_query, axis=1)[:, cols - by_query :].reshape(-1)
+                turned = np.ascontiguousarray(cosines.T)
+                m2 = np.repeat(np.arange(cols), by_member)
+                q2 = np.argpartition(turned, rows - by_member, axis=1)[:, rows - by_member :].reshape(-1)
+                both = np.unique(np.concatenate([q * cols + m, q2 * cols + m2]))
+                q, m = np.divmod(both, cols)
+                near = cosines[q, m]
+                q, m = q[near >= max(floor, -1.5)], m[near >= max(floor, -1.5)]
+            if len(q):
+                yield at + q, col + m, cosines[q, m]
+
+
+def best_of_each(a: np.ndarray, b: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` nearest of each ``a``, of equally near ones those with lower ``b``."""
+    order = np.lexsort((b, -near, a))
+    if not len(order):
+        return order
+    new = np.r_[True, a[order][1:] != a[order][:-1]]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - start < k]
 
 
 def nearest_of_all(
@@ -179,14 +202,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], d: int, chunk: int) -> Iterator[t
 
 
 def _coded(x: np.ndarray) -> np.ndarray:
-    return np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+    return np.rint(x * (32_767 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int16)
 
 
-def enough_visits(rows: DataFrame, n: int, forest: tuple[np.ndarray, np.ndarray], d: int, k: int, floor: float, least: int) -> int | None:
-    """The visits, from ``least`` on by doubling, with which a sample's vectors reach ``RECALL`` of their ``k`` nearest; None if ``MOST_PROBES`` don't.
+def enough_visits(rows: DataFrame, n: int, forest: tuple[np.ndarray, np.ndarray], d: int, k: int, floor: float, least: int) -> int:
+    """The visits, from ``least`` on, with which a sample's vectors reach ``RECALL`` of their ``k`` nearest.
 
-    The sample is compared with every row; a neighbour counts where a leaf
-    that holds it is visited from the sample's side.
+    The sample is compared with every row. A neighbour counts where a leaf
+    that holds either vector is visited by the other. Where a least cosine is
+    asked for, all neighbours must be found, and the visits are doubled once
+    more. A visit of all leaves of a tree finds everything, so visits end there.
     """
     part = min(1.0, QUERIES / max(1, n))
     drawn = F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(1_000_000)) < max(1, int(part * 1_000_000))
@@ -213,115 +238,148 @@ def enough_visits(rows: DataFrame, n: int, forest: tuple[np.ndarray, np.ndarray]
         return least
     query = np.searchsorted(ids, true.column(0).to_numpy())
     others = np.frombuffer(b"".join(true.column(1).to_pylist()), np.float32).reshape(-1, d)
-    trees, leaves = len(forest[0]), len(forest[0]) * (forest[0].shape[1] + 1)
-    homes = []
-    for i in range(0, len(others), 1024):
-        at, home = visit_order(others[i : i + 1024], forest, trees)
-        homes.append(at[home].reshape(-1, trees))
-    homes = np.concatenate(homes)
-    visits = least
-    while True:
-        visited = np.zeros((len(x), leaves), dtype=bool)
-        for i in range(0, len(x), 1024):
-            np.put_along_axis(visited[i : i + 1024], visit_order(x[i : i + 1024], forest, visits)[0], True, axis=1)
-        if visited[query[:, None], homes].any(axis=1).mean() >= RECALL:
-            return visits
-        if 2 * visits > max(MOST_PROBES, least):
-            return None
-        visits *= 2
-
-
-def all_nearest(rows: DataFrame, n: int, d: int, k: int, floor: float) -> DataFrame:
-    """(a, b, near): the ``k`` nearest of each vector within every tile; the tiles hold all pairs of vectors."""
-    groups = max(1, int(np.ceil(n / TILE_ROWS)))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in _chunks(batches, d, CHUNK_ROWS):
-            mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            group = ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
-            codes = _coded(x)
-            for g in np.unique(group):
-                at = np.flatnonzero(group == g)
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([ids[at].tobytes()], pa.binary()), pa.array([codes[at].tobytes()], pa.binary())], names=["part", "ids", "codes"])
+    trees, leaves = len(forest[0]), forest[0].shape[1] + 1
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles: dict[int, dict[int, list]] = {}
-        for batch in batches:
-            for tile, part, ids, codes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                tiles.setdefault(tile, {}).setdefault(part, []).append((np.frombuffer(ids, np.int64), np.frombuffer(codes, np.int8).reshape(-1, d)))
-        for tile in list(tiles):
-            sides = []
-            for held in tiles.pop(tile).values():
-                ids, first = np.unique(np.concatenate([i for i, _ in held]), return_index=True)
-                sides.append((ids, unit(np.concatenate([c for _, c in held])[first].astype(np.float32))))
-            alone = tile // groups == tile % groups
-            for one, other in [(sides[0], sides[0])] if alone else [(sides[0], sides[1]), (sides[1], sides[0])] if len(sides) == 2 else []:
-                a, b, near = nearest_of_all(*one, *other, k, floor)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], names=["a", "b", "near"])
-
-    packs = rows.select("id", "vec").mapInArrow(packed, "part long, ids binary, codes binary")
-    tile = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.least(o, F.col("part")) * groups + F.greatest(o, F.col("part")))
-    tasks = min(groups * (groups + 1) // 2, 10_000)
-    tiles = packs.select(F.explode(tile).alias("tile"), "part", "ids", "codes").repartition(tasks, "tile")
-    return tiles.mapInArrow(compare, "a long, b long, near float")
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """The best candidates of each vector by the rounded cosine."""
-    best = found.groupBy("a", "b").agg(F.max("near").alias("near"))
-    turn = F.row_number().over(W.partitionBy("a").orderBy(F.col("near").desc(), "b"))
-    return best.withColumn("turn", turn).where(F.col("turn") <= k + OPEN_SPARE)
+    def homes(y: np.ndarray) -> np.ndarray:
+        at, home = _visits(y, forest, trees)
+        return np.sort(at[home].reshape(-1, trees), axis=1)
 
+    def seen(y: np.ndarray, homes_of: np.ndarray, visits: int) -> np.ndarray:
+        at, _ = _visits(y, forest, visits)
+        found = np.zeros(len(y), dtype=bool)
+        for t in range(trees):
+            found |= (at == homes_of[:, t, None]).any(axis=1)
+        return found
 
-def _scatter(forest: tuple[np.ndarray, np.ndarray], visits: int, d: int, chunk: int) -> Callable:
-    """Vectors, one byte per element, packed by the leaf they visit."""
+    of_query, of_other = homes(x)[query], homes(others)
+    visits, wanted = least, RECALL if floor <= -1 else 1.0
+    while visits < leaves:
+        found = np.zeros(len(others), dtype=bool)
+        for i in range(0, len(others), 1024):
+            part = slice(i, i + 1024)
+            found[part] = seen(x[query[part]], of_other[part], visits) | seen(others[part], of_query[part], visits)
+        if found.mean() >= wanted:
+            return min(leaves, visits if floor <= -1 else 2 * visits)
+        visits = min(leaves, visits + max(1, visits // 2))
+    return leaves
+
+
+def _scatter(forest: tuple[np.ndarray, np.ndarray], visits: int, d: int, chunk: int, per_bucket: int) -> Callable:
+    """Vectors, two bytes per element, packed by the bucket of leaves they visit: each once, with its visits, those of its own leaf first."""
+    leaves = forest[0].shape[1] + 1
+    per_tree = -(-leaves // per_bucket)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _chunks(batches, d, chunk):
+            for i in range(0, len(ids), 65_536):
+                yield flush(ids[i : i + 65_536], x[i : i + 65_536])
 
     def flush(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        leaves, home = visit_order(x, forest, visits) if len(x) <= 4096 else tuple(
-            np.concatenate(parts) for parts in zip(*(visit_order(x[i : i + 4096], forest, visits) for i in range(0, len(x), 4096)), strict=True)
-        )
+        leaf, home = _visits(x, forest, visits)
         codes = _coded(x)
-        row = np.repeat(np.arange(len(x)), leaves.shape[1])
-        leaf, home = leaves.reshape(-1), home.reshape(-1)
-        order = np.lexsort((~home, leaf))
-        row, leaf, home = row[order], leaf[order], home[order]
-        start = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-        end = np.r_[start[1:], len(leaf)]
-        homes = np.add.reduceat(home.astype(np.int64), start)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(leaf[start].astype(np.int32)),
-                pa.array(homes),
-                pa.array([ids[row[a:b]].tobytes() for a, b in zip(start, end, strict=True)], pa.binary()),
-                pa.array([codes[row[a:b]].tobytes() for a, b in zip(start, end, strict=True)], pa.binary()),
-            ],
-            names=["leaf", "homes", "ids", "codes"],
-        )
+        row = np.repeat(np.arange(len(x)), leaf.shape[1])
+        leaf, home = leaf.reshape(-1), home.reshape(-1)
+        tree, place = np.divmod(leaf, leaves)
+        bucket, place = tree * per_tree + place // per_bucket, place % per_bucket
+        order = np.lexsort((row, ~home, bucket))
+        row, place, home, bucket = row[order], place[order], home[order], bucket[order]
+        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        columns: tuple[list, ...] = ([], [], [], [], [], [])
+        for a, b in zip(start, np.r_[start[1:], len(bucket)], strict=True):
+            rows, at = np.unique(row[a:b], return_inverse=True)
+            values = (bucket[a], home[a:b].sum(), ids[rows].tobytes(), codes[rows].tobytes(), at.astype(np.uint16).tobytes(), place[a:b].astype(np.uint16).tobytes())
+            for column, value in zip(columns, values, strict=True):
+                column.append(value)
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "homes", "ids", "codes", "at", "places"])
+
+    return run
+
+
+def _search(d: int, k: int | None, floor: float, parts: int) -> Callable:
+    """Compares every vector with the members of the leaves it visits; the best of a bucket leave it packed by the part of their query."""
+
+    def packed(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        a, b, near, part = a[order], b[order], near[order].astype(np.float32), part[order]
+        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        cuts = list(zip(start, np.r_[start[1:], len(part)], strict=True))
+        blobs = (pa.array([c[i:j].tobytes() for i, j in cuts], pa.binary()) for c in (a, b, near))
+        return pa.RecordBatch.from_arrays([pa.array(part[start], pa.int32()), *blobs], names=["part", "a", "b", "near"])
+
+    def bucket_pairs(blobs: list) -> Iterator[pa.RecordBatch]:
+        own_ids, own_codes, own_place = [], [], []
+        for homes, ids, codes, at, place in blobs:
+            own_ids.append(ids[at[:homes]])
+            own_codes.append(codes[at[:homes]])
+            own_place.append(place[:homes])
+        own, own_codes, own_place = np.concatenate(own_ids), np.concatenate(own_codes), np.concatenate(own_place)
+        order = np.lexsort((own, own_place))
+        order = order[np.r_[True, (own[order][1:] != own[order][:-1]) | (own_place[order][1:] != own_place[order][:-1])]] if len(order) else order
+        own, own_place, own_x = own[order], own_place[order], unit(own_codes[order].astype(np.float32))
+        kept: list[tuple[np.ndarray, ...]] = []  # the best of each member so far
+        seen = np.empty(0, dtype=np.int64)
+        for _, ids, codes, at, place in blobs:
+            fresh = np.zeros(len(ids), dtype=bool)  # rows delivered twice
+            fresh[np.unique(ids, return_index=True)[1]] = True
+            fresh &= ~np.isin(ids, seen)
+            seen = np.concatenate([seen, ids[fresh]])
+            at, place = at[fresh[at]], place[fresh[at]]
+            x = unit(codes.astype(np.float32))
+            order = np.argsort(place, kind="stable")
+            at, place = at[order], place[order]
+            start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            found = []
+            for i, j in zip(start, np.r_[start[1:], len(place)], strict=True):
+                lo, hi = np.searchsorted(own_place, [place[i], place[i] + 1])
+                if lo < hi:
+                    rows = at[i:j]
+                    found += [(rows[q], lo + m, near) for q, m, near in pairs_in_block(ids[rows], x[rows], own[lo:hi], own_x[lo:hi], k, floor)]
+            if not found:
+                continue
+            q, m, near = (np.concatenate(c) for c in zip(*found, strict=True))
+            if k is None:
+                yield packed(np.minimum(ids[q], own[m]), np.maximum(ids[q], own[m]), near)
+                continue
+            best = best_of_each(ids[q], own[m], near, k)
+            yield packed(ids[q[best]], own[m[best]], near[best])
+            kept.append((own[m], ids[q], near))
+            a, b, near = (np.concatenate(c) for c in zip(*kept, strict=True))
+            best = best_of_each(a, b, near, k)
+            kept = [(a[best], b[best], near[best])]
+        if kept and len(kept[0][0]):
+            yield packed(*kept[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in _chunks(batches, d, chunk):
-            yield flush(ids, x)
+        buckets: dict[int, list] = {}
+        for batch in batches:
+            for bucket, homes, ids, codes, at, place in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                buckets.setdefault(bucket, []).append(
+                    (homes, np.frombuffer(ids, np.int64), np.frombuffer(codes, np.int16).reshape(-1, d), np.frombuffer(at, np.uint16), np.frombuffer(place, np.uint16))
+                )
+        for bucket in list(buckets):
+            yield from bucket_pairs(buckets.pop(bucket))
 
     return run
 
 
-def _search(d: int, k: int | None, floor: float) -> Callable:
+def _merge(k: int | None) -> Callable:
+    """Distinct pairs of a part, with ``k`` the best of each query."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
+        held: dict[int, list] = {}
         for batch in batches:
-            for leaf, homes, ids, codes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                parts.setdefault(leaf, []).append((homes, np.frombuffer(ids, np.int64), np.frombuffer(codes, np.int8).reshape(-1, d)))
-        for leaf in list(parts):
-            held = parts.pop(leaf)
-            own = np.concatenate([i[:h] for h, i, _ in held])
-            if not len(own):
-                continue
-            ids, first = np.unique(np.concatenate([i for _, i, _ in held]), return_index=True)
-            x = unit(np.concatenate([c for _, _, c in held])[first].astype(np.float32))
-            at = np.searchsorted(ids, np.unique(own))
-            for a, b, cosine in nearest_in_block(ids, x, ids[at], x[at], k, floor):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cosine.astype(np.float32))], names=["a", "b", "near"])
+            for part, a, b, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(part, []).append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(near, np.float32)))
+        for part in list(held):
+            a, b, near = (np.concatenate(c) for c in zip(*held.pop(part), strict=True))
+            order = np.lexsort((b, a))
+            order = order[np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]]
+            a, b, near = a[order], b[order], near[order]
+            best = slice(None) if k is None else best_of_each(a, b, near, k)
+            yield from pa.Table.from_arrays([pa.array(a[best]), pa.array(b[best]), pa.array(near[best])], names=["a", "b", "near"]).to_batches(max_chunksize=100_000)
 
     return run
 
@@ -360,9 +418,10 @@ def _without_copies(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame |
 def candidates(
     df: DataFrame, id: str, vector: str, d: int, k: int | None, floor: float, trees: int = TREES, probes: int = PROBES, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
-    """(pairs a, b, near; usable rows; copies left out; copies kept): leaf candidates of each usable vector."""
+    """(pairs a, b, near; usable rows; copies left out; copies kept): leaf candidates of each usable vector, each pair once."""
     vec = F.col(vector)
-    rows = df.select(F.col(id).cast("long").alias("id"), vec.alias("vec"), F.xxhash64(vec).alias("copy")).where(F.col("id").isNotNull() & usable(vec, d))
+    copy = F.struct(F.xxhash64(vec), F.xxhash64(F.lit(1), vec))  # 128 bits
+    rows = df.select(F.col(id).cast("long").alias("id"), vec.alias("vec"), copy.alias("copy")).where(F.col("id").isNotNull() & usable(vec, d))
     rows, left_out, kept = _without_copies(rows, (k or 0) + 1)
     rows = rows.select("id", "vec")
     n = rows.count()
@@ -374,19 +433,21 @@ def candidates(
     depth = int(np.clip(np.ceil(np.log2(max(1, n) / LEAF_ROWS)), 0, MAX_DEPTH))
     forest = fit_trees(x, trees if depth else 1, depth, seed)
     near = floor - ROUNDING if floor > -1 else floor
-    if k is not None and depth:
-        visits = enough_visits(rows, n, forest, d, k, floor, probes)
-        if visits is None:
-            return _best(all_nearest(rows, n, d, k + SPARE, near), k), rows, left_out, kept
-        probes = visits
+    visits = enough_visits(rows, n, forest, d, k or 5, floor, probes) if depth else 1
+    leaves = 1 << depth
+    if visits >= leaves:  # every leaf of one tree: all vectors are compared with all
+        forest, visits = (forest[0][:1], forest[1][:1]), leaves
+    per_bucket = max(1, min(leaves, int(BUCKET_ROWS * leaves / max(1, n))))
+    buckets, parts = len(forest[0]) * -(-leaves // per_bucket), max(1, -(-n // PART_ROWS))
     shared = df.sparkSession.sparkContext.broadcast(forest)  # at most trees * 2**MAX_DEPTH vectors
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scatter(shared.value, probes, d, CHUNK_ROWS)(batches)
+        yield from _scatter(shared.value, visits, d, CHUNK_ROWS, per_bucket)(batches)
 
-    packed = rows.mapInArrow(scatter, "leaf int, homes long, ids binary, codes binary").repartition("leaf")
-    found = packed.mapInArrow(_search(d, None if k is None else k + SPARE, near), "a long, b long, near float")
-    return found, rows, left_out, kept
+    most = None if k is None else k + SPARE
+    packed = rows.mapInArrow(scatter, "bucket int, homes long, ids binary, codes binary, at binary, places binary").repartitionById(buckets, "bucket")
+    found = packed.mapInArrow(_search(d, most, near, parts), "part int, a binary, b binary, near binary").repartitionById(parts, "part")
+    return found.mapInArrow(_merge(most), "a long, b long, near float"), rows, left_out, kept
 
 
 def exact_pairs(found: DataFrame, rows: DataFrame, floor: float) -> DataFrame:
@@ -411,17 +472,15 @@ def similar_vectors(
 
     The trees are fitted on a sample of about ``SAMPLE_ROWS`` vectors, every
     vector is indexed. Each lies in one leaf of every tree and visits the
-    ``probes`` leaves of all trees whose turn in the shared queue comes first,
-    more where a sample's true neighbours are not found by these; where
-    ``MOST_PROBES`` don't do either, all vectors are compared, tile by tile.
-    The best candidates are reranked by the exact cosine. Vectors
-    travel as one byte per element. Where one vector is repeated in a large
+    leaves of all trees whose turn in the shared queue comes first: ``probes``,
+    or as many more as it takes to find a sample's true neighbours, up to all
+    leaves of a tree. Whoever is compared is a candidate of both. The best
+    candidates are reranked by the exact cosine. Vectors
+    travel as two bytes per element. Where one vector is repeated in a large
     part of all rows, its ``k + 1`` lowest ids stand for it, and the other
     copies have the lowest of them as neighbours.
     """
     found, rows, left_out, kept = candidates(df, id, vector, d, k, min_cosine, trees, probes)
-    if min_cosine <= -1:  # every vector has candidates: only the best by the rounded cosine are reranked
-        found = _best(found, k)
     pairs = exact_pairs(found, rows, min_cosine)
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(
         pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine")
