@@ -327,6 +327,8 @@ def _search(d: int, k: int | None, floor: float, parts: int) -> Callable:
             fresh &= ~np.isin(ids, seen)
             seen = np.concatenate([seen, ids[fresh]])
             at, place = at[fresh[at]], place[fresh[at]]
+            if not len(at):
+                continue
             x = unit(codes.astype(np.float32))
             order = np.argsort(place, kind="stable")
             at, place = at[order], place[order]
