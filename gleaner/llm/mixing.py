@@ -12,7 +12,6 @@ from gleaner.session import written
 
 UNKNOWN = "und"
 SEED = 11
-FILL_PASSES = 3
 
 
 @dataclass
@@ -111,8 +110,10 @@ def mix(
 
     A leaf uses whole epochs of its documents and of the last epoch, in the
     order of a hash of seed, mix, epoch and id, the prefix that fits into the
-    rest of the budget; where a long document ends the prefix, the shorter ones
-    behind it fill what is left in ``FILL_PASSES`` passes, the last of which comes as near as it can. Documents without source, id or tokens are not
+    rest of the budget. What whole documents leave over in a leaf goes to the
+    other languages of its source: in further passes the source's shorter
+    documents behind the prefix fill what is left until none fits, and a last
+    pass comes as near as it can. Documents without source, id or tokens are not
     used, nor targets without share; null repeats count as 1. Equal doc_ids
     are one document. An empty table gives no rows.
 
@@ -147,30 +148,40 @@ def mix(
         plan_budgets(leaves, (total_tokens or {}).get(mix_id) or full_total(leaves))
         for x in leaves:
             budget = int(round(x.budget))
-            if x.tokens and budget:
+            if x.tokens:
                 epochs = min(budget // x.tokens, x.repeats)
-                plan.append((mix_id, x.source, x.lang, epochs, budget - epochs * x.tokens if epochs < x.repeats else 0))
+                spare = epochs < x.repeats
+                plan.append((mix_id, x.source, x.lang, epochs, budget - epochs * x.tokens if spare else 0, spare))
     spark = sizes.sparkSession
-    plan_df = spark.createDataFrame(plan, "mix_id string, source string, lang string, epochs long, rest long")
+    plan_df = spark.createDataFrame(plan, "mix_id string, source string, lang string, epochs long, rest long, spare boolean")
     # one row per target and language
     pool = docs.join(F.broadcast(plan_df), ["source", "lang"]).withColumn("__key", F.xxhash64(F.lit(seed), "mix_id", "epochs", "doc_id"))
-    leaf = ["mix_id", "source", "lang"]
-    pool = pool.withColumn("more", F.lit(0).cast("long"))
-    for last in [False] * (FILL_PASSES - 1) + [True]:
-        fits = "more = 0 and n_tokens <= rest" if not last else "more = 0 and n_tokens <= 2 * rest"
-        placed = running_sum_by_hash(pool.where(fits), leaf, "__key", ["doc_id"], "n_tokens", "__before")
-        near = F.col("__before") + (F.col("n_tokens") / 2 if last else F.col("n_tokens")) <= F.col("rest")
-        placed = placed.withColumn("more", near.cast("long")).drop("__before")
-        pool = written(pool.where(f"not ({fits})").unionByName(placed))
-        if not last:
-            used = pool.where("more = 1").groupBy(*leaf).agg(F.sum("n_tokens").alias("__used"))
-            start = plan_df.select(*leaf, F.col("rest").alias("__rest"))
-            left = F.broadcast(start.join(used, leaf, "left").select(*leaf, (F.col("__rest") - F.coalesce("__used", F.lit(0))).alias("rest")))
-            pool = pool.drop("rest").join(left, leaf)
+    pool = written(_placed(pool.withColumn("more", F.lit(0).cast("long")), ["mix_id", "source", "lang"], last=False))
+    asked = {}
+    for x in plan:
+        asked[x[:2]] = asked.get(x[:2], 0) + x[4]
+    while True:
+        # one row per target: what is left of its last epochs, and the shortest of its documents that can still be used
+        free = F.when(F.col("spare") & (F.col("more") == 0), F.col("n_tokens"))
+        now = pool.groupBy("mix_id", "source").agg(F.sum(F.when(F.col("more") == 1, F.col("n_tokens")).otherwise(0)).alias("used"), F.min(free).alias("shortest")).collect()
+        left = [(r["mix_id"], r["source"], asked[r["mix_id"], r["source"]] - r["used"], r["shortest"]) for r in now]
+        more = any(n and n <= rest for _, _, rest, n in left)
+        rests = spark.createDataFrame([x[:3] for x in left], "mix_id string, source string, rest long")
+        pool = written(_placed(pool.drop("rest").join(F.broadcast(rests), ["mix_id", "source"]), ["mix_id", "source"], last=not more))
+        if not more:
+            break
     uses = F.col("epochs") + F.col("more")
     return pool.withColumn("uses", uses).where("uses > 0").select("mix_id", "source", "lang", "doc_id", "n_tokens", "uses")
 
 
+def _placed(pool: DataFrame, group: list[str], last: bool) -> DataFrame:
+    """Marks the prefix of each group's free documents that fits into its rest; the last pass goes over it where that comes nearer."""
+    fits = f"spare and more = 0 and n_tokens <= {2 if last else 1} * rest"
+    placed = running_sum_by_hash(pool.where(fits), group, "__key", ["doc_id"], "n_tokens", "__before")
+    near = F.col("__before") + (F.col("n_tokens") / 2 if last else F.col("n_tokens")) <= F.col("rest")
+    return pool.where(f"not ({fits})").unionByName(placed.withColumn("more", near.cast("long")).drop("__before"))
+
+
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(mix_id, source, target_share, records, tokens, reached_share, most_uses), one row for each target."""
     reached = mixed.groupBy("mix_id", "source").agg(

@@ -85,6 +85,24 @@ r AS (
 """
 
 
+LINES = r"""
+WITH d AS (SELECT doc_id, trim(lower(coalesce(source, '')), ' ' || chr(160) || chr(9)) AS host, text FROM documents),
+l AS (
+  SELECT doc_id, host, unnest(list_filter(list_transform(
+    regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), lambda x: trim(regexp_replace(lower(x), '[^\p{L}]+', ' ', 'g'))), lambda x: x <> '')) AS line FROM d),
+c AS (SELECT *, n * len(string_split(line, ' ')) AS words FROM (SELECT doc_id, host, line, count(*) AS n FROM l GROUP BY ALL)),
+g AS (SELECT host, line FROM c GROUP BY ALL HAVING count(*) > 5),
+s AS (
+  SELECT doc_id, sum(n) AS n_lines, coalesce(sum(n) FILTER (g.line IS NOT NULL), 0) AS n_removed, sum(words) AS n_words, coalesce(sum(words) FILTER (g.line IS NULL), 0) AS kept_words
+  FROM c LEFT JOIN g ON c.host = g.host AND c.line = g.line GROUP BY 1),
+r AS (
+  SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_words, 0)::BIGINT AS n_words,
+    coalesce(kept_words, 0)::BIGINT AS kept_words, CASE WHEN n_words > 0 THEN kept_words / n_words ELSE 1.0 END AS kept_share
+  FROM (SELECT doc_id FROM d) LEFT JOIN s USING (doc_id))
+SELECT *, kept_share < 0.5 AS rejected FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": TERMS + "SELECT field, term, mark FROM r WHERE mark IS NOT NULL",
@@ -97,6 +115,15 @@ def oracle_sql() -> dict[str, str]:
         + """SELECT criteria_uid, file_idx, match_idx FROM o WHERE n_items >= 8 AND
         (coalesce(match_score_rank = 1, false)::INT + coalesce(sif_score_rank = 1, false)::INT
         + coalesce(dpr_score_rank = 1, false)::INT + coalesce(cross_encoder_score_rank = 1, false)::INT) >= 3""",
+        "p6_ranking": RANKS
+        + """, b AS (SELECT *, q[1] AS a1, 1 - q[1] AS b1, q[2] AS a2, 1 - q[2] AS b2, q[3] AS a3, 1 - q[3] AS b3, q[4] AS a4 FROM o),
+        t AS (SELECT *, least(1.0, 4 * least(
+          (((4 * a1) * ((b1 * b1) * b1) + (6 * (a1 * a1)) * (b1 * b1)) + (4 * ((a1 * a1) * a1)) * b1) + ((a1 * a1) * a1) * a1,
+          ((6 * (a2 * a2)) * (b2 * b2) + (4 * ((a2 * a2) * a2)) * b2) + ((a2 * a2) * a2) * a2,
+          (4 * ((a3 * a3) * a3)) * b3 + ((a3 * a3) * a3) * a3, ((a4 * a4) * a4) * a4)) AS rho FROM b)
+        SELECT criteria_uid, file_idx, match_idx, n_items, match_score_rank, sif_score_rank, dpr_score_rank, cross_encoder_score_rank, rho,
+          row_number() OVER (PARTITION BY criteria_uid ORDER BY rho, file_idx, match_idx) AS position FROM t""",
+        "p9_line_frequency": LINES,
         "p9_found": REPEATED + "SELECT doc_id FROM r WHERE n_words > 0 AND n_repeated * 10 >= n_words * 3",
         "p9_repetition": REPEATED + "SELECT * FROM r",
     }

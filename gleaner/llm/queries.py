@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.clusters import described, text_clusters, vector_clusters
 from gleaner.llm.forest import similar_vectors
+from gleaner.llm.line_frequency import line_frequency
 from gleaner.llm.mixing import language, mix, mix_report, source_name
 from gleaner.llm.packing import pack
-from gleaner.llm.rank_fusion import fuse_rankings
+from gleaner.llm.rank_fusion import fuse_rankings, significance_of_firsts
 from gleaner.llm.repetition import repetition
 from gleaner.llm.term_stats import marked_terms
 from gleaner.llm.tokens import token_counts
@@ -94,9 +95,10 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # an average rank of 1 is the single highest value
+    # who leads three scores is that significant; the check: an average rank of 1 is the single highest value
+    significant = F.col("rho") <= significance_of_firsts(F.col("n_items"), 3, len(FUSED))
     firsts = sum((F.coalesce(F.col(f"{s}_rank") == 1, F.lit(False)).cast("int") for s in FUSED), F.lit(0))
-    return p6_ranking(spark, sf_dir).where((F.col("n_items") >= 8) & (firsts >= 3)).select("criteria_uid", "file_idx", "match_idx")
+    return p6_ranking(spark, sf_dir).where((F.col("n_items") >= 8) & significant & (firsts >= 3)).select("criteria_uid", "file_idx", "match_idx")
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +120,25 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.join(specs, "spec_id").select("spec_id", "capacity_tokens", "containers", "tokens", share.alias("filled_share"))
 
 
-def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = read_table(spark, sf_dir, "mix_targets")
+def _sizes(spark: SparkSession, sf_dir: str, targets: DataFrame) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").withColumn("source", source_name(F.col("source")))
     asked = targets.select(source_name(F.col("source")).alias("source")).distinct()
     drawn = documents.join(asked, "source", "left_semi").withColumn("lang", language(F.col("lang")))
-    return mix(written(token_counts(drawn, ["doc_id", "source", "lang"], "text")), targets)
+    return written(token_counts(drawn, ["doc_id", "source", "lang"], "text"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read_table(spark, sf_dir, "mix_targets")
+    return mix(_sizes(spark, sf_dir, targets), targets)
+
+
+def p8_large_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reached shares of mixes as large as a quarter of the tokens of all sources asked for: scarce sources are used up, and their shortages redistributed."""
+    targets = read_table(spark, sf_dir, "mix_targets")
+    sizes = _sizes(spark, sf_dir, targets)
+    total = (sizes.agg(F.sum("n_tokens")).first()[0] or 0) // 4
+    mixes = [r[0] for r in targets.select("mix_id").where("mix_id is not null").distinct().collect()]
+    return mix_report(mix(sizes, targets, dict.fromkeys(mixes, total)), targets)
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +153,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_repetition(spark, sf_dir).where("n_words > 0 and n_repeated * 10 >= n_words * 3").select("doc_id").distinct()
 
 
+def p9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", source_name(F.col("source")).alias("source"), "text")
+    return line_frequency(documents, "doc_id", "source", "text")
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
@@ -153,7 +173,9 @@ def queries() -> dict:
         "p7_packing": p7_packing,
         "p7_report": p7_report,
         "p8_mix": p8_mix,
+        "p8_large_mix": p8_large_mix,
         "p8_report": p8_report,
         "p9_found": p9_found,
+        "p9_line_frequency": p9_line_frequency,
         "p9_repetition": p9_repetition,
     }

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import comb
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,26 @@ from gleaner.operators.ordered import average_ranks
 from gleaner.session import written
 
 HOT_ROWS = 200_000
+FLUSH_ROWS = 200_000
 
 
 def beta_tail(r: np.ndarray, k: int, m: int) -> np.ndarray:
-    """P(k-th smallest of m uniform values <= r) = P(Beta(k, m - k + 1) <= r)."""
-    return sum(comb(m, j) * r**j * (1 - r) ** (m - j) for j in range(k, m + 1))
+    """P(k-th smallest of m uniform values <= r) = P(Beta(k, m - k + 1) <= r).
+
+    Powers are products from the left, so that equal ranks give equal bits anywhere.
+    """
+
+    def power(x: np.ndarray, n: int) -> np.ndarray:
+        return reduce(mul, [x] * n, 1.0)
+
+    return sum(comb(m, j) * power(r, j) * power(1 - r, m - j) for j in range(k, m + 1))
+
+
+def significance_of_firsts(size: Column, firsts: int, m: int) -> Column:
+    """The largest ``rho`` of an item of ``size`` that leads ``firsts`` of ``m`` scores."""
+    r = 1 / size
+    tail = sum(comb(m, j) * F.pow(r, F.lit(j)) * F.pow(1 - r, F.lit(m - j)) for j in range(firsts, m + 1))
+    return F.least(F.lit(1.0), m * tail) * (1 + 1e-9)
 
 
 def significance(normalised: np.ndarray) -> np.ndarray:
@@ -50,10 +67,23 @@ def _average_ranks(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 def _fuse(m: int, keys: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
+        """The rows come by group; whole groups are ranked as soon as enough rows are there."""
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= FLUSH_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                group = table.column("grp").combine_chunks()
+                last = pc.index(pc.equal(group, group[-1]), True).as_py()
+                if last:
+                    yield from ranked(table.slice(0, last).combine_chunks())
+                held = table.slice(last).to_batches()
+                rows = len(table) - last
+        if rows:
+            yield from ranked(pa.Table.from_batches(held).combine_chunks())
+
+    def ranked(table: pa.Table) -> Iterator[pa.RecordBatch]:
         names = [f"rank_{i}" for i in range(m)]
         code = table.column("grp").combine_chunks().dictionary_encode()
         group = code.indices.to_numpy()
@@ -97,8 +127,9 @@ def fuse_rankings(
     its place by (rho, keys). Only ranks count, so no score decides because of
     its range. Rows without group or key are no items; an empty table gives no rows.
 
-    Groups up to ``hot_rows`` rows are ranked in one pass over one shuffle.
-    Larger ones are ranked over range partitions, with the same result.
+    Groups up to ``hot_rows`` rows are ranked in one pass over one shuffle, a
+    task holding about one group at a time. Larger ones, however many, are
+    ranked over range partitions, with the same result.
     """
     m, n_keys = len(scores), len(keys)
     named = {f"k{i}": (F.col(k) if dict(df.dtypes)[k] == "string" else F.col(k).cast("long")) for i, k in enumerate(keys)}
@@ -106,16 +137,17 @@ def fuse_rankings(
     rows = df.select(F.col(group).alias("grp"), *(c.alias(n) for n, c in named.items()), *(c.alias(n) for n, c in values.items()))
     rows = rows.where(" and ".join(f"{c} is not null" for c in ("grp", *named)))
     kinds = dict(rows.dtypes)
-    hot = [r[0] for r in rows.groupBy("grp").count().where(F.col("count") > hot_rows).select("grp").limit(10_000).collect()]
+    hot = written(rows.groupBy("grp").count().where(F.col("count") > hot_rows).select("grp"))  # one row for each hot_rows rows at most
     schema = ", ".join(
         [*(f"{c} {kinds[c]}" for c in ("grp", *named)), "n_items long", *(f"rank_{i} double" for i in range(m)), "rho double", "position long"]
     )
     once = lambda d: d.groupBy("grp", *named).agg(*(F.max(c).alias(c) for c in values))
-    small = rows.where(~F.col("grp").isin(hot)) if hot else rows
+    some = not hot.isEmpty()
+    small = rows.join(hot, "grp", "left_anti") if some else rows
     # one shuffle: rows of a group are together, so are those of an item
-    fused = once(small.repartition("grp")).mapInArrow(_fuse(m, n_keys), schema)
-    if hot:
-        fused = fused.unionByName(_fuse_hot(once(rows.where(F.col("grp").isin(hot))), [*named], m))
+    fused = once(small.repartition("grp")).sortWithinPartitions("grp").mapInArrow(_fuse(m, n_keys), schema)
+    if some:
+        fused = fused.unionByName(_fuse_hot(once(rows.join(hot, "grp", "left_semi")), [*named], m))
     return fused.select(
         F.col("grp").alias(group),
         *(F.col(f"k{i}").cast(df.schema[k].dataType).alias(k) for i, k in enumerate(keys)),
@@ -129,7 +161,7 @@ def fuse_rankings(
 def _fuse_hot(items: DataFrame, keys: list[str], m: int) -> DataFrame:
     items = written(items)
     sizes = items.groupBy("grp").agg(F.count(F.lit(1)).alias("n_items"))
-    ranked = items.join(F.broadcast(sizes), "grp")  # at most the 10 000 hot groups
+    ranked = items.join(sizes, "grp")
     for i in range(m):
         ranks = average_ranks(items, ["grp"], f"s{i}", f"rank_{i}")
         ranked = ranked.join(ranks, ["grp", f"s{i}"], "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -80,55 +81,95 @@ def _sorted_run(table: pa.Table, n: int) -> pa.Table:
     return table.take(pa.array(order[rank < n]))
 
 
-def _make_runs(n: int, run_rows: int) -> Callable:
+def _make_runs(n: int, run_rows: int, buckets: int) -> Callable:
+    """Sorted runs, each cut into the buckets of its groups: one row for a run's part of a bucket."""
+
+    def pieces(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = _sorted_run(pa.Table.from_batches(held), n).combine_chunks()
+        groups = table.column("grp").combine_chunks().dictionary_encode()
+        place = groups.indices.to_numpy()
+        names = groups.dictionary.to_pylist()
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.empty(0, dtype=np.int64)
+        ends = np.r_[starts[1:], len(place)]
+        bucket_of = np.array([crc32(g.encode()) % buckets for g in names], dtype=np.int64)  # the dictionary is in the order of the rows
+        items, scores = table.column("item").to_numpy(), table.column("score").to_numpy()
+        columns: tuple[list, ...] = ([], [], [], [], [])
+        for bucket in np.unique(bucket_of):
+            own = np.flatnonzero(bucket_of == bucket)
+            sizes = ends[own] - starts[own]
+            rows = np.repeat(starts[own] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+            for column, value in zip(columns, (int(bucket), [names[g] for g in own], sizes.astype(np.int32), items[rows], scores[rows]), strict=True):
+                column.append(value)
+        kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "groups", "sizes", "items", "scores"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
             if rows >= run_rows:
-                yield from _sorted_run(pa.Table.from_batches(held), n).to_batches()
+                yield pieces(held)
                 held, rows = [], 0
-        if held:
-            yield from _sorted_run(pa.Table.from_batches(held), n).to_batches()
+        if rows:
+            yield pieces(held)
 
     return run
 
 
-def _merge_runs(n: int) -> Callable:
+class Run:
+    """A sorted run of one bucket: its groups in order, and where each one's rows begin."""
+
+    def __init__(self, groups: pa.Array, sizes: pa.Array, items: pa.Array, scores: pa.Array):
+        self.groups = groups
+        self.starts = np.r_[0, np.cumsum(sizes.to_numpy())]
+        self.items, self.scores = items.to_numpy(), scores.to_numpy()
+        self.group = self.at = 0
+        self.name = groups[0].as_py() if len(groups) else None
+
+    def key(self) -> tuple | None:
+        return None if self.name is None else (self.name, -self.scores[self.at], self.items[self.at])
+
+    def step(self) -> None:
+        self.at += 1
+        if self.at == self.starts[self.group + 1]:
+            self.next_group()
+
+    def next_group(self) -> None:
+        self.group += 1
+        self.at = self.starts[self.group]
+        self.name = self.groups[self.group].as_py() if self.group < len(self.groups) else None
+
+
+def _merge_runs(n: int, flush_rows: int = 100_000) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [_sorted_run(pa.Table.from_batches([b]), n) for b in batches if b.num_rows]
-        runs = [
-            (t.column("grp").to_pylist(), (-t.column("score").to_numpy()).tolist(), t.column("item").to_pylist()) for t in tables
-        ]
-        at = [0] * len(runs)
-
-        def key(r: int):
-            g, s, i = runs[r]
-            p = at[r]
-            return (g[p], s[p], i[p]) if p < len(g) else None
-
-        tree = LoserTree([key(r) for r in range(len(runs))])
+        runs = [Run(*(batch.column(c)[i].values for c in ("groups", "sizes", "items", "scores"))) for batch in batches for i in range(batch.num_rows)]
+        tree = LoserTree([r.key() for r in runs])
         out: tuple[list, list, list, list] = ([], [], [], [])
+
+        def flushed() -> pa.RecordBatch:
+            types = (pa.string(), pa.int64(), pa.float64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["grp", "item", "score", "rank"])
+
         group, taken = None, []
         while runs and (head := tree.keys[tree.winner()]) is not None:
-            r = tree.winner()
+            own = runs[tree.winner()]
             if group is None or head[0] != group:
                 group, taken = head[0], []
+                if len(out[0]) >= flush_rows:
+                    yield flushed()
+                    out = ([], [], [], [])
             if len(taken) == n:  # seek to the next group
-                g, p = runs[r][0], at[r] + 1
-                while p < len(g) and g[p] == group:
-                    p += 1
-                at[r] = p
+                own.next_group()
             else:
                 if head[2] not in taken:
                     taken.append(head[2])
                     for column, value in zip(out, (group, head[2], -head[1], len(taken)), strict=True):
                         column.append(value)
-                at[r] += 1
-            tree.advance(key(r))
-        types = (pa.string(), pa.int64(), pa.float64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["grp", "item", "score", "rank"])
+                own.step()
+            tree.advance(own.key())
+        if out[0]:
+            yield flushed()
 
     return run
 
@@ -144,12 +185,14 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, run_rows: in
 
     Map tasks sort their rows into runs by (group, score, item) and write at
     most ``n`` rows of a group per run, so a group with any share of all rows
-    costs ``n`` rows a run; runs are bucketed by group, and each bucket merges
-    its runs with a loser tree that goes to the next group after ``n`` outputs.
+    costs ``n`` rows a run. A run's groups are cut into buckets and stay whole and
+    sorted on their way; each bucket merges the runs it gets with a loser tree
+    that goes to the next group after ``n`` outputs.
     """
     rows = df.select(
         F.col(group).cast("string").alias("grp"), F.col(item).cast("long").alias("item"), F.col(score).cast("double").alias("score")
     ).where("grp is not null and item is not null and score is not null and not isnan(score)")
-    runs = rows.mapInArrow(_make_runs(n, run_rows), "grp string, item long, score double")
-    merged = runs.repartition("grp").mapInArrow(_merge_runs(n), "grp string, item long, score double, rank int")
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = rows.mapInArrow(_make_runs(n, run_rows, buckets), "bucket int, groups array<string>, sizes array<int>, items array<long>, scores array<double>")
+    merged = runs.repartitionById(buckets, "bucket").mapInArrow(_merge_runs(n), "grp string, item long, score double, rank int")
     return merged.select(F.col("grp").alias(group), F.col("item").cast(df.schema[item].dataType).alias(item), F.col("score").alias(score), "rank")

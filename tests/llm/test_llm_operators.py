@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.clusters import density_peaks, described, joined_clusters, text_clusters, vector_clusters
 from gleaner.llm.forest import fit_trees, pairs_in_block, similar_vectors, unit, visit_order
+from gleaner.llm.line_frequency import line_frequency
 from gleaner.llm.mixing import Leaf, full_total, mix, mix_report, plan_budgets
 from gleaner.llm.packing import pack, shortest_pack_first
-from gleaner.llm.rank_fusion import beta_tail, fuse_rankings, significance
+from gleaner.llm.rank_fusion import beta_tail, fuse_rankings, significance, significance_of_firsts
 from gleaner.llm.repetition import repetition
 from gleaner.llm.set_join import _pairs_of_runs, block_keys, similar_sets
 from gleaner.llm.term_stats import keyword_of, marked_terms, term_frequencies
@@ -425,3 +426,48 @@ def test_repetition_against_brute_force(spark):
         got = {r["doc_id"]: (r["n_words"], r["n_repeated"]) for r in repetition(df, "doc_id", "text", 8, chunk).collect()}
         assert got == {i: brute_repeated(t) for i, t in enumerate(texts)}
     assert repetition(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_line_frequency(spark):
+    shared = "Page 1 of 9"
+    data = [(i, "h", f"{shared}\r\nown line number{'x' * i} here") for i in range(4)]
+    data += [(4, "h", "page 2 OF 7!"), (5, "other", "Page 3 of 3"), (6, None, None), (7, "h", ""), (8, "h", "1234\n--"), (None, "h", shared), (0, "h", data[0][2])]
+    df = spark.createDataFrame(data, "doc_id long, host string, text string").withColumn("words", F.lit("x"))
+    got = {r["doc_id"]: r for r in line_frequency(df, "doc_id", "host", "text", most_documents=3).collect()}
+    assert set(got) == set(range(9))
+    assert (got[0]["n_lines"], got[0]["n_removed"], got[0]["n_words"], got[0]["kept_words"], got[0]["rejected"]) == (2, 1, 6, 4, False)
+    assert got[4]["rejected"] and got[4]["kept_share"] == 0 and not got[5]["rejected"]
+    assert all(got[i]["kept_share"] == 1 and got[i]["n_lines"] == 0 for i in (6, 7, 8))
+    assert line_frequency(df, "doc_id", "host", "text", most_documents=4).where("n_removed > 0").count() == 5
+    assert line_frequency(df, "doc_id", "host", "text", most_documents=5).where("n_removed > 0").count() == 0
+    assert line_frequency(df.limit(0), "doc_id", "host", "text").count() == 0
+
+
+def test_what_a_language_leaves_over_goes_to_the_source(spark):
+    """A source whose tokens lie nearly all in one document of one language still gives its share, from its other languages."""
+    sizes = [(0, "one", "en", 5000)] + [(i, "one", "de", 10) for i in range(1, 60)] + [(100 + i, "two", "en", 10) for i in range(500)]
+    df = spark.createDataFrame(sizes, "doc_id long, source string, lang string, n_tokens long")
+    targets = spark.createDataFrame([("m", "one", 0.1, 1), ("m", "two", 0.9, 1)], "mix_id string, source string, target_share double, max_repeats int")
+    report = {r["source"]: r for r in mix_report(mix(df, targets, {"m": 4000}), targets).collect()}
+    assert abs(report["one"]["reached_share"] - 0.1) < 0.01 and report["one"]["tokens"] == 400
+
+
+def test_runs_keep_their_order_and_long_groups_are_skipped(spark, monkeypatch):
+    rng = random.Random(12)
+    data = [(f"g{rng.choice([0, 0, 0, rng.randint(1, 40)])}", i % 700, rng.choice([1.0, 2.0, rng.random()])) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, item int, score double").repartition(4)
+    best = {}
+    for g, i, x in data:
+        best.setdefault(g, {}).setdefault(i, x)
+        best[g][i] = max(best[g][i], x)
+    wanted = sorted((g, i, x, r) for g, own in best.items() for r, (i, x) in enumerate(sorted(own.items(), key=lambda p: (-p[1], p[0]))[:3], 1))
+    assert sorted(rows(top_n(df, "g", "item", "score", 3, run_rows=50))) == wanted == sorted(rows(top_n(df, "g", "item", "score", 3)))
+
+
+def test_who_leads_three_scores_is_significant(spark):
+    rng = random.Random(13)
+    data = [("g", "f", i, *((9.0, 9.0, 9.0, -9.0) if i == 5 else [rng.random() for _ in range(4)])) for i in range(9)]
+    df = spark.createDataFrame(data, "g string, f string, i int, a double, b double, c double, d double")
+    fused = fuse_rankings(df, "g", ["f", "i"], {x: F.col(x) for x in "abcd"})
+    passed = {r["i"] for r in fused.where(F.col("rho") <= significance_of_firsts(F.col("n_items"), 3, 4)).collect()}
+    assert 5 in passed and len(passed) < 4
