@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 BLOCK = 1_000
 
 
-def context_window(hits: DataFrame, passages: DataFrame, before: str, after: str, most: int = 5, block: int = BLOCK) -> DataFrame:
+def context_window(hits: DataFrame, passages: DataFrame, before: str, after: str, most: int | None = None, block: int = BLOCK) -> DataFrame:
     """``hits`` with ``context``: the texts of the passages from ``before`` places ahead of a hit to ``after`` behind it.
 
     Both have file_idx and match_idx, passages also match_text; before and
-    after are columns of hits, at most ``most``. Files are cut into blocks of
-    ``block`` places, and the passages near an edge are given to both blocks,
-    so that a file of any length is spread. Missing places, null and empty texts
+    after are columns of hits; ``most`` is the largest of their values, looked up
+    if it isn't given. Null and negative ones count as 0. Files are cut into blocks of
+    ``block`` places, and the passages near an edge are given to all blocks they
+    reach, so that a file of any length is spread. Missing places, null and empty texts
     are left out; a hit without file or place has the context ''.
     """
+    back, ahead = (F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for c in (before, after))
+    if most is None:
+        most = hits.agg(F.max(F.greatest(back, ahead))).first()[0] or 0
     spot = F.floor(F.col("match_idx") / block)
     texts = passages.where("file_idx is not null and match_idx is not null").select("file_idx", "match_idx", "match_text")
-    near = F.array_distinct(F.array(*(F.floor((F.col("match_idx") + d) / block) for d in (-most, 0, most))))
+    near = F.sequence(F.floor((F.col("match_idx") - most) / block), F.floor((F.col("match_idx") + most) / block))
     spread = texts.withColumn("__block", F.explode(near)).withColumn("__own", F.col("__block") == spot)
     frame = W.partitionBy("file_idx", "__block").orderBy("match_idx").rangeBetween(-most, most)
     filled = F.col("match_text").isNotNull() & (F.col("match_text") != "")
@@ -29,7 +33,7 @@ def context_window(hits: DataFrame, passages: DataFrame, before: str, after: str
     joined = hits.join(own, ["file_idx", "match_idx"], "left")
     kept = F.filter(
         F.col("__around"),
-        lambda x: (x["match_idx"] >= F.col("match_idx") - F.least(F.col(before), F.lit(most))) & (x["match_idx"] <= F.col("match_idx") + F.least(F.col(after), F.lit(most))),
+        lambda x: (x["match_idx"] >= F.col("match_idx") - back) & (x["match_idx"] <= F.col("match_idx") + ahead),
     )
     text = F.array_join(F.transform(F.array_sort(kept), lambda x: x["match_text"]), " ")
     return joined.withColumn("context", F.coalesce(text, F.lit(""))).drop("__around")

@@ -48,18 +48,16 @@ def token_cosine(a: Column, b: Column) -> Column:
 def location_edges(hits: DataFrame, reach: int = 3, least: float = 0.5) -> DataFrame:
     """(a, b): answered hits of one scope, heading and block at most ``reach`` places apart with similar texts.
 
-    Each hit looks back at the hits before it in order, so no pairs of a whole
-    scope are made. Of hits at the same place, which are no more than ``reach``
-    apart either, only the ``reach`` before are seen.
+    Each hit looks back at the hits of the ``reach`` places before it and at those
+    of its own place, so no pairs of a whole scope are made.
     """
     words = hits.where("answer is not null and trim(answer) <> ''").select(
         "hit_id", *SCOPE, "match_idx", "block_type", F.coalesce("header_text", F.lit("")).alias("header"), F.array_distinct(T.tokens(F.col("match_text"))).alias("words")
     )
-    spot = W.partitionBy(*SCOPE, "block_type", "header").orderBy("match_idx", "hit_id")
-    own = F.struct("hit_id", "match_idx", "words")
-    behind = words.select("hit_id", "match_idx", "words", F.array(*(F.lag(own, d).over(spot) for d in range(1, reach + 1))).alias("behind"))
-    pairs = behind.select("hit_id", "match_idx", "words", F.explode("behind").alias("o")).where("o is not null")
-    near = pairs.where((F.col("match_idx") - F.col("o.match_idx") <= reach) & (F.size("words") > 0) & (F.size("o.words") > 0))
+    spot = W.partitionBy(*SCOPE, "block_type", "header").orderBy("match_idx").rangeBetween(-reach, 0)
+    behind = words.where("match_idx is not null").select("hit_id", "match_idx", "words", F.collect_list(F.struct("hit_id", "match_idx", "words")).over(spot).alias("behind"))
+    pairs = behind.select("hit_id", "match_idx", "words", F.explode("behind").alias("o"))
+    near = pairs.where("(o.match_idx < match_idx or o.hit_id < hit_id) and size(words) > 0 and size(o.words) > 0")
     return near.where(token_cosine(F.col("words"), F.col("o.words")) > least).select(F.least("hit_id", "o.hit_id").alias("a"), F.greatest("hit_id", "o.hit_id").alias("b"))
 
 

@@ -107,9 +107,9 @@ def list_answers(hits: DataFrame) -> DataFrame:
 
 
 def final_ranks(hits: DataFrame) -> DataFrame:
-    """Hits with ``rank`` in their scope: summaries first, then by group and place."""
+    """Hits with ``rank`` in their scope: summaries first, then by group and place, those without group_rank last."""
     summary = (F.coalesce("block_type", F.lit("")) == "summary").desc()
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy(*SCOPE).orderBy(summary, "group_rank", "place", "hit_id")))
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy(*SCOPE).orderBy(summary, F.col("group_rank").asc_nulls_last(), "place", "hit_id")))
 
 
 def file_order(hits: DataFrame, by_file_score: bool = True) -> DataFrame:

@@ -63,6 +63,16 @@ def field_stats(passages: DataFrame, tokens: str, words: list[str]) -> FieldStat
     return FieldStats(row["n"], row["mean"] or 1.0, {w: row[f"w{i}"] for i, w in enumerate(words)})
 
 
+def stats_of_fields(passages: DataFrame, fields: dict[str, list[str]]) -> list[FieldStats]:
+    """Statistics of several token columns in one pass; one row comes back."""
+    columns = [F.count(F.lit(1)).alias("n")]
+    for f, (name, words) in enumerate(fields.items()):
+        columns.append(F.avg(F.size(F.coalesce(name, F.array().cast("array<string>")))).alias(f"mean{f}"))
+        columns += [F.count_if(F.array_contains(name, w)).alias(f"w{f}_{i}") for i, w in enumerate(words)]
+    row = passages.agg(*columns).first()
+    return [FieldStats(row["n"], row[f"mean{f}"] or 1.0, {w: row[f"w{f}_{i}"] for i, w in enumerate(words)}) for f, words in enumerate(fields.values())]
+
+
 def saturation(frequency: Column, length: Column, mean_length: float) -> Column:
     return frequency * (K1 + 1) / (frequency + K1 * (1 - B + B * length / mean_length))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,20 +68,26 @@ NUMBER_WORDS: dict[str, int] = {
 GAPS = "\u00a0\u202f"
 DIGITS = rf"\d{{1,3}}(?:[ {GAPS}'’]\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)*"
 NUMBER = re.compile(DIGITS)
-QUANTITY = re.compile(rf"^(?P<open>\()?\s*(?P<sign>[-−–])?\s*(?P<before>[^\d\s()−–-][^\d()−–-]{{0,23}}?)?\s*(?P<sign2>[-−–])?\s*(?P<number>{DIGITS})\s*-?\s*(?P<after>[^\d\s()][^()]{{0,39}}?)?\s*(?P<close>\))?$")
-SPELLED = re.compile(rf"^(?P<words>[A-Za-z -]+?)\s*(?:\(\s*(?P<number>{DIGITS})\s*\))\s*(?P<after>[^\d\s].{{0,39}})?$")
-ENCLOSED = re.compile(r"\(\s*((?:all amounts in|amounts in|beträge in|montants en|in|en)\s[^()]{1,40}|[^()]{2,24},\s*in\s\w+)\)", re.IGNORECASE)
+QUANTITY = re.compile(rf"^(?P<open>\()?\s*(?P<sign>[-−–])?\s*(?P<before>[^\d\s()−–-][^\d()−–-]*?)?\s*(?P<sign2>[-−–])?\s*(?P<number>{DIGITS})\s*-?\s*(?P<after>[^\d\s()][^()]*?)?\s*(?P<close>\))?$")
+SPELLED = re.compile(rf"^(?P<words>[A-Za-z -]+?)\s*(?:\(\s*(?P<number>{DIGITS})\s*\))\s*(?P<after>[^\d\s].*)?$")
+ENCLOSED = re.compile(r"\(\s*((?:all amounts in|amounts in|beträge in|montants en|in|en)\s[^()]+|[^()]+,\s*in\s\w+)\)", re.IGNORECASE)
 OPEN_HINT = re.compile(
     r"\bin ((?:(?:thousands|millions|billions) (?:us dollars|usd|euros?|eur|pounds sterling|gbp|swiss francs|chf))"
     r"|(?:(?:us dollars|usd|euros?|eur|pounds sterling|gbp|swiss francs|chf) (?:thousands|millions|billions)))\b",
     re.IGNORECASE,
 )
+NUMBER_GOES_ON = re.compile(r"[.,]?\d")
+DOTTED_UNIT = re.compile(r"\s?(?:sq|mo|mos|std|mio|mrd|tsd)\.", re.IGNORECASE)
 LANGUAGES = {"en": "en", "de": "de", "fr": "fr", "ge": "de", "al": "de", "an": "en"}
 CANDIDATE = pa.schema(
     [("id", pa.int64()), ("grp", pa.string()), ("rank", pa.int32()), ("number", pa.string()), ("negative", pa.bool_()), ("enclosed", pa.bool_()), ("spelling", pa.string()), ("exact", pa.bool_())]
 )
 GRAM = 3
-MAX_SPELLING = 60
+#: So many words beside a number may be its unit.
+BESIDE_WORDS = 5
+WORDS_BEHIND = re.compile(r"(?:\s*\))?((?:\s*[^\s.;:()]+){0,%d})" % (BESIDE_WORDS + 1))
+DOTTED_BEHIND = re.compile(r"((?:\s*(?!\s\()[^\s]+){0,%d})" % (BESIDE_WORDS + 1))
+LARGEST = 2**63 - 1
 SHARED_SPELLINGS = 100_000
 CACHED_SPELLINGS = 100_000
 
@@ -279,13 +285,13 @@ def beside(text: str, number: str) -> list[str]:
     at = text.find(number)
     while at >= 0:
         end = at + len(number)
-        if not (at and (text[at - 1].isdigit() or (text[at - 1] in ".," and at > 1 and text[at - 2].isdigit()))) and not re.match(r"[.,]?\d", text[end:]):
+        if not (at and (text[at - 1].isdigit() or (text[at - 1] in ".," and at > 1 and text[at - 2].isdigit()))) and not NUMBER_GOES_ON.match(text, end):
             before = re.search(r"([A-Za-z]{0,3}\.?[$€£]?)\s?[-−]?$", text[max(0, at - 8) : at])
             lead = before[1] if before and re.search(r"[$€£]|^(?:[A-Z]{3}|SFr\.)$", before[1]) else ""
-            rest = re.match(r"[^.;:()]{0,44}", re.sub(r"^\s*\)", "", text[end : end + 50]))[0]
-            rest = text[end : end + 44].split(" (")[0] if re.match(r"\s?(?:sq|mo|mos|std|mio|mrd|tsd)\.", text[end:], re.IGNORECASE) else rest
+            dotted = DOTTED_UNIT.match(text, end)
+            rest = (DOTTED_BEHIND if dotted else WORDS_BEHIND).match(text, end)[1].split(" (")[0]
             words = rest.split(",")[0].replace("-", " ", 1).split() if rest.startswith("-") else rest.split(",")[0].split()
-            for n in range(min(5, len(words)), 0, -1):
+            for n in range(min(BESIDE_WORDS, len(words)), 0, -1):
                 found.append(plain(f"{lead} {' '.join(words[:n])}"))
             if lead:
                 found.append(plain(lead))
@@ -298,10 +304,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spellings, cache = SpellingMap(), {}
 
     def known(spelling: str) -> bool:
+        """Without repairs: these are made once for each distinct spelling."""
         if spelling not in cache:
             if len(cache) > CACHED_SPELLINGS:
                 cache.clear()
-            cache[spelling] = bool(spelling) and spellings(spelling) is not None
+            cache[spelling] = bool(spelling) and spellings(spelling, True) is not None
         return cache[spelling]
 
     for batch in batches:
@@ -321,7 +328,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             negative = any(p.negative for p in own)
             seen = set()
             for rank, (p, spelling, exact) in enumerate(tried):
-                if len(spelling) <= MAX_SPELLING and (spelling, p.number) not in seen:
+                if (spelling, p.number) not in seen:
                     seen.add((spelling, p.number))
                     for column, value in zip(out, (key, grp, rank, p.number, negative, enclosed, spelling, exact), strict=True):
                         column.append(value)
@@ -339,13 +346,17 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        numbers = [decimal_text(n, lang) for n, lang in zip(batch.column("number").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("id", "negative", "enclosed", "unit", "factor")] + [pa.array(numbers, pa.string())],
-            names=["id", "negative", "enclosed", "unit", "factor", "value"],
-        )
+def _amounts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole numbers of the common unit, rounded half away from zero; null beyond 64 bits."""
+    with localcontext(prec=200):
+        for batch in batches:
+            amounts = []
+            for number, lang, factor in zip(*(batch.column(c).to_pylist() for c in ("number", "lang", "factor")), strict=True):
+                amount = int((Decimal(decimal_text(number, lang)) * Decimal(factor)).quantize(Decimal(1), ROUND_HALF_UP)) if len(number) <= 100 else LARGEST + 1
+                amounts.append(amount if amount <= LARGEST else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("id", "negative", "enclosed", "unit")] + [pa.array(amounts, pa.int64())], names=["id", "negative", "enclosed", "unit", "amount"]
+            )
 
 
 def number_style(lang: Column) -> Column:
@@ -356,7 +367,7 @@ def number_style(lang: Column) -> Column:
 
 
 def common_quantities(
-    df: DataFrame, id: str, answer: str, formatted: str, header: str, text: str, group: str, langs: DataFrame, salts: int = 16
+    df: DataFrame, id: str, answer: str, formatted: str, header: str, text: str, group: str, langs: DataFrame, units: DataFrame | None = None, salts: int = 16
 ) -> DataFrame:
     """(id, unit, amount): the quantity of every row that has one, as a whole number of its common unit.
 
@@ -366,7 +377,8 @@ def common_quantities(
     number style a ``group`` follows, English if it is missing. Rows without
     number or without known unit give no rows, nor do rows without id; rows
     delivered twice count once; an empty table gives none. Amounts are rounded
-    half away from zero; money in parentheses is negative.
+    half away from zero, and there is none beyond 64 bits; money in parentheses
+    is negative. ``units`` (unit) limits the result to these common units.
 
     Spellings next to a number or in a heading are collected, the distinct
     ones are mapped to units once, and this dictionary is joined to all rows.
@@ -375,8 +387,10 @@ def common_quantities(
     rows = df.where(F.col(id).isNotNull() & (filled(answer) | filled(formatted))).select(
         F.col(id).cast("long").alias("id"), F.col(group).cast("string").alias("grp"), answer, formatted, header, text
     )
-    tried = rows.mapInArrow(_candidates, "id long, grp string, rank int, number string, negative boolean, enclosed boolean, spelling string, exact boolean")
+    tried = written(rows.mapInArrow(_candidates, "id long, grp string, rank int, number string, negative boolean, enclosed boolean, spelling string, exact boolean"))
     aliases = written(tried.select("spelling", "exact").distinct().mapInArrow(_resolve, "spelling string, exact boolean, unit string, factor string"))
+    if units is not None:
+        aliases = aliases.join(F.broadcast(units.select("unit").distinct()), "unit", "left_semi")  # as many as there are common units
     small = aliases.count() <= SHARED_SPELLINGS
     mapped = tried.join(F.broadcast(aliases) if small else aliases, ["spelling", "exact"])
     best = mapped.groupBy("id").agg(F.min(F.struct("rank", "number", "negative", "enclosed", "unit", "factor", "grp")).alias("b")).select("id", "b.*")
@@ -385,8 +399,8 @@ def common_quantities(
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     styled = best.withColumn("salt", salt).join(spread, ["grp", "salt"], "left").withColumn("lang", F.coalesce("lang", F.lit("en")))
     valued = styled.select("id", "number", "lang", "negative", "enclosed", "unit", "factor").mapInArrow(
-        _numbers, "id long, negative boolean, enclosed boolean, unit string, factor string, value string"
+        _amounts, "id long, negative boolean, enclosed boolean, unit string, amount long"
     )
     minus = F.col("negative") | (F.col("enclosed") & F.col("unit").isin(*MONEY))
-    size = F.round(F.col("value").cast("decimal(19,6)") * F.col("factor").cast("decimal(24,10)"), 0).cast("long")
-    return valued.select(F.col("id").cast(df.schema[id].dataType).alias(id), "unit", F.when(minus, -size).otherwise(size).alias("amount")).where("amount is not null")
+    signed = F.when(minus, -F.col("amount")).otherwise(F.col("amount"))
+    return valued.where("amount is not null").select(F.col("id").cast(df.schema[id].dataType).alias(id), "unit", signed.alias("amount"))

@@ -74,11 +74,11 @@ def group_same_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.same_answer_groups(hits(spark, sf_dir))
 
 
-LOCATION = f"""{HITS}, w AS (SELECT *, row_number() OVER (PARTITION BY criteria_uid, file_idx, block_type, header ORDER BY match_idx, hit_id) AS n FROM (
-  SELECT hit_id, criteria_uid, file_idx, match_idx, block_type, coalesce(header_text, '') AS header, list_distinct({sql_tokens('match_text')}) AS w FROM h WHERE trim(answer) <> '')),
+LOCATION = f"""{HITS}, w AS (
+  SELECT hit_id, criteria_uid, file_idx, match_idx, block_type, coalesce(header_text, '') AS header, list_distinct({sql_tokens('match_text')}) AS w FROM h WHERE trim(answer) <> ''),
 e AS (SELECT least(a.hit_id, b.hit_id) AS a, greatest(a.hit_id, b.hit_id) AS b FROM w a JOIN w b ON a.criteria_uid = b.criteria_uid AND a.file_idx = b.file_idx
-  AND a.block_type IS NOT DISTINCT FROM b.block_type AND a.header = b.header AND a.n - b.n BETWEEN 1 AND 3
-  WHERE a.match_idx - b.match_idx <= 3 AND len(list_intersect(a.w, b.w)) / sqrt(len(a.w) * len(b.w)) > 0.5)"""
+  AND a.block_type IS NOT DISTINCT FROM b.block_type AND a.header = b.header AND a.match_idx - b.match_idx BETWEEN 0 AND 3 AND (a.match_idx > b.match_idx OR a.hit_id > b.hit_id)
+  WHERE len(list_intersect(a.w, b.w)) / sqrt(len(a.w) * len(b.w)) > 0.5)"""
 
 
 @query(f"WITH {LOCATION} SELECT * FROM e")
@@ -219,7 +219,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PHRASES = rf"""ph AS (SELECT DISTINCT unnest(list_filter(list_transform(string_split(array_to_string(list_transform(regexp_extract_all(lower(match_text), '([\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\s])'),
   lambda p: CASE WHEN regexp_matches(p, '^[^\p{{L}}\p{{N}}]') OR p IN ({sql_words(T.STOP_WORDS)}) THEN '|' ELSE p END), ' '), '|'), lambda r: trim(r)),
-  lambda r: r <> '' AND len(string_split(r, ' ')) <= 4 AND NOT regexp_matches(r, '^[\p{{N}} ]+$'))) AS phrase FROM matches),
+  lambda r: r <> '' AND NOT regexp_matches(r, '^[\p{{N}} ]+$'))) AS phrase FROM matches),
 pw AS (SELECT phrase, unnest(string_split(phrase, ' ')) AS word, len(string_split(phrase, ' ')) AS n FROM ph),
 ws AS (SELECT word, count(*) AS frequency, CAST(sum(n) AS BIGINT) AS degree FROM pw GROUP BY 1)"""
 

@@ -32,6 +32,11 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "matches").dropDuplicates(["hit_id"])
 
 
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches as delivered, for filters: what is left is made distinct behind them."""
+    return read_table(spark, sf_dir, "matches")
+
+
 def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "criteria")
 
@@ -41,14 +46,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits_with_criteria(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return lookup_join(hits(spark, sf_dir), criteria(spark, sf_dir).select("criteria_uid", *columns), "criteria_uid", "hit_id", "inner")
+    return with_criteria(hits(spark, sf_dir), spark, sf_dir, *columns)
+
+
+def with_criteria(rows: DataFrame, spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return lookup_join(rows, criteria(spark, sf_dir).select("criteria_uid", *columns), "criteria_uid", "hit_id", "inner")
 
 
 @query(f"WITH {HITS} SELECT f.workspace_idx, h.file_idx, h.match_idx, h.oid, h.block_type FROM h JOIN files f USING (file_idx) WHERE f.workspace_idx = 'ws_00'")
 def scan_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = files(spark, sf_dir).where(X.by_value("workspace_idx", "ws_00")).select("file_idx", "workspace_idx")
-    rows = hits(spark, sf_dir).select("file_idx", "match_idx", "oid", "block_type")
-    return lookup_join(rows, own, "file_idx", "oid", "inner").select("workspace_idx", "file_idx", "match_idx", "oid", "block_type")
+    rows = deliveries(spark, sf_dir).select("file_idx", "match_idx", "oid", "block_type")
+    return lookup_join(rows, own, "file_idx", "oid", "inner").select("workspace_idx", "file_idx", "match_idx", "oid", "block_type").distinct()
 
 
 @query(f"""WITH {HITS}, t AS (SELECT file_idx, block_type, coalesce(len({sql_tokens('match_text')}), 0) AS n FROM h)
@@ -70,57 +79,57 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {HITS} SELECT hit_id, file_idx FROM h WHERE file_idx IN (SELECT file_idx FROM files WHERE file_meta['doc_kind'] = 'minutes')")
 def filter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = files(spark, sf_dir).where(F.col("file_meta")["doc_kind"] == "minutes")
-    return X.by_table(hits(spark, sf_dir).select("hit_id", "file_idx"), minutes, "file_idx")
+    return X.by_table(deliveries(spark, sf_dir).select("hit_id", "file_idx"), minutes, "file_idx").distinct()
 
 
 @query(f"""WITH {HITS}, t AS (SELECT hit_id, {sql_tokens('match_text')} AS w FROM h), p AS (SELECT hit_id, w, {sql_padded('w')} AS p FROM t)
 SELECT hit_id FROM p WHERE (list_has_all(w, ['loan', 'balance']) OR list_has_all(w, ['purchase', 'price'])
   OR (list_has_all(w, ['review']) AND contains(p, ' fiscal  year ')))""")
 def keyword_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = passage_columns(hits(spark, sf_dir))
-    return rows.where(X.matches_keywords(F.col("tokens"), F.col("padded"), KEYWORDS[:3])).select("hit_id")
+    rows = passage_columns(deliveries(spark, sf_dir))
+    return rows.where(X.matches_keywords(F.col("tokens"), F.col("padded"), KEYWORDS[:3])).select("hit_id").distinct()
 
 
 @query(f"""WITH {HITS}, t AS (SELECT hit_id, {sql_tokens('match_text')} AS w FROM h)
 SELECT hit_id FROM t WHERE (list_has_all(w, ['loan', 'balance']) OR list_has_all(w, ['purchase', 'price'])) AND NOT list_has_all(w, ['annual'])""")
 def keyword_not(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = passage_columns(hits(spark, sf_dir))
-    return rows.where(X.matches_keywords(F.col("tokens"), F.col("padded"), [*KEYWORDS[:2], "not:annual"])).select("hit_id")
+    rows = passage_columns(deliveries(spark, sf_dir))
+    return rows.where(X.matches_keywords(F.col("tokens"), F.col("padded"), [*KEYWORDS[:2], "not:annual"])).select("hit_id").distinct()
 
 
 @query(f"""WITH {HITS}, t AS (SELECT hit_id, {sql_padded(sql_tokens('match_text'))} AS p FROM h)
 SELECT hit_id, CAST((length(p) - length(replace(p, ' base  rent ', ''))) / 12 AS BIGINT) AS times FROM t WHERE contains(p, ' base  rent ')""")
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = passage_columns(hits(spark, sf_dir)).where(T.has_phrase(F.col("padded"), ["base", "rent"]))
-    return rows.select("hit_id", T.phrase_count(F.col("padded"), ["base", "rent"]).cast("long").alias("times"))
+    rows = passage_columns(deliveries(spark, sf_dir)).where(T.has_phrase(F.col("padded"), ["base", "rent"]))
+    return rows.select("hit_id", T.phrase_count(F.col("padded"), ["base", "rent"]).cast("long").alias("times")).distinct()
 
 
 @query(f"""WITH {HITS}, t AS (SELECT hit_id, {sql_tokens('header_text')} AS w FROM h)
 SELECT hit_id FROM t WHERE (list_has_all(w, ['annual', 'budget']) OR list_has_all(w, ['item', 'balance'])) AND NOT list_has_all(w, ['mortgage'])""")
 def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = passage_columns(hits(spark, sf_dir))
-    return rows.where(X.matches_headers([(F.col("header_tokens"), F.col("header_padded"))], HEADERS)).select("hit_id")
+    rows = passage_columns(deliveries(spark, sf_dir))
+    return rows.where(X.matches_headers([(F.col("header_tokens"), F.col("header_padded"))], HEADERS)).select("hit_id").distinct()
 
 
 @query(f"WITH {HITS} SELECT hit_id, entity_types FROM h WHERE list_has_any(regexp_split_to_array(entity_types, '\\s+'), ['NUM:money', 'ORG'])")
 def entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir).where(X.has_entity(F.col("entity_types"), ["NUM:money", "ORG"])).select("hit_id", "entity_types")
+    return deliveries(spark, sf_dir).where(X.has_entity(F.col("entity_types"), ["NUM:money", "ORG"])).select("hit_id", "entity_types").distinct()
 
 
 @query(f"""WITH {HITS} SELECT h.hit_id, h.page_idx, f.n_pages FROM h JOIN criteria c USING (criteria_uid) JOIN files f USING (file_idx)
 WHERE CASE WHEN page_start = -1 AND page_end = -1 THEN true WHEN page_start > 0 AND page_end > 0 THEN coalesce(page_idx BETWEEN page_start - 1 AND page_end - 1, false)
   WHEN page_start < 0 AND page_end < 0 THEN coalesce(page_idx - n_pages BETWEEN page_start AND page_end, false) ELSE true END""")
 def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hits_with_criteria(spark, sf_dir, "page_start", "page_end")
+    rows = with_criteria(deliveries(spark, sf_dir), spark, sf_dir, "page_start", "page_end")
     paged = lookup_join(rows, files(spark, sf_dir).select("file_idx", "n_pages"), "file_idx", "hit_id", "inner")
-    return paged.where(X.in_pages(F.col("page_idx"), F.col("n_pages"), F.col("page_start"), F.col("page_end"))).select("hit_id", "page_idx", "n_pages")
+    return paged.where(X.in_pages(F.col("page_idx"), F.col("n_pages"), F.col("page_start"), F.col("page_end"))).select("hit_id", "page_idx", "n_pages").distinct()
 
 
 @query(f"""WITH {HITS} SELECT h.hit_id, h.block_type FROM h JOIN criteria c USING (criteria_uid)
 WHERE NOT (coalesce(table_flag, '') = 'disable' AND coalesce(block_type IN ('table', 'table_cell'), false))""")
 def table_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hits_with_criteria(spark, sf_dir, "table_flag")
-    return rows.where(X.no_tables(F.col("block_type"), F.col("table_flag"))).select("hit_id", "block_type")
+    rows = with_criteria(deliveries(spark, sf_dir), spark, sf_dir, "table_flag")
+    return rows.where(X.no_tables(F.col("block_type"), F.col("table_flag"))).select("hit_id", "block_type").distinct()
 
 
 @query("""SELECT file_idx, 'nobody' AS reader FROM files WHERE permit_list IS NULL
@@ -364,7 +373,7 @@ def semantic_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {HITS} SELECT hit_id, 2.0 * (len(list_filter(['NUM:money', 'ORG'], lambda t: list_contains(regexp_split_to_array(entity_types, '\\s+'), t)))) AS score FROM h WHERE list_has_any(regexp_split_to_array(entity_types, '\\s+'), ['NUM:money', 'ORG'])""")
 def answer_type_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir).select("hit_id", S.entity_clause(F.col("entity_types"), ["NUM:money", "ORG"]).alias("score")).where("score > 0")
+    return deliveries(spark, sf_dir).select("hit_id", S.entity_clause(F.col("entity_types"), ["NUM:money", "ORG"]).alias("score")).where("score > 0").distinct()
 
 
 @query()

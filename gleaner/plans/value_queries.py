@@ -228,7 +228,7 @@ def table_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs = read_table(spark, sf_dir, "files").select("file_idx", F.col("file_meta")["lang"].alias("lang"))
     return common_quantities(
-        read_table(spark, sf_dir, "matches"), "hit_id", "answer", "formatted_answer", "header_text", "match_text", "file_idx", langs
+        read_table(spark, sf_dir, "matches"), "hit_id", "answer", "formatted_answer", "header_text", "match_text", "file_idx", langs, read_table(spark, sf_dir, "common_units")
     )
 
 

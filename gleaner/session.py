@@ -28,9 +28,12 @@ def get_session(master: str = "local[*]", app: str = "gleaner", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir is not set; executors of {master} need a shared folder")
         path = tempfile.mkdtemp(prefix="gleaner-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
