@@ -21,14 +21,23 @@ UNITS = "zero one two three four five six seven eight nine ten eleven twelve thi
 TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
 SCALES = ["hundred", "thousand", "million", "billion", "trillion"]
 SCALE_FACTORS = {"hundred": 10**2, "thousand": 10**3, "million": 10**6, "billion": 10**9, "trillion": 10**12}
-#: In this order, since "m" also ends other words.
+# How a scale is abbreviated; the first that fits counts.
 SCALE_ENDINGS = [
-    ("million", r"(?:millions?|mm|mn|mln|m)"),
-    ("billion", r"(?:billions?|bn|bln|b)"),
+    ("million", r"(?:millions?|mill?|mm|mn|mln|m)"),
+    ("billion", r"(?:billions?|bill?|bn|bln|b)"),
     ("thousand", r"(?:thousands?|thsnd|k)"),
-    ("hundred", r"(?:hundreds?)"),
-    ("trillion", r"(?:trillions?|tn|t)"),
+    ("hundred", r"(?:hundreds?|hund)"),
+    ("trillion", r"(?:trillions?|trill?|trn|tln|tn|t)"),
 ]
+# The words that tell what an amount counts; the first class with one of its words counts.
+UNIT_CLASSES: dict[str, list[str]] = {
+    "percent": ["%", "percent", "percentage"],
+    "money": ["$", "€", "£", "¥", "dollar", "dollars", "million", "millions", "billion", "billions", "bn", "thousand", "hundred"],
+    "area": ["sqft", "sq-ft", "square", "foot", "feet", "ft", "acre", "acres", "sft", "sf", "sq", "gsf", "nsf"],
+    "storeys": ["story", "stories", "floor", "floors", "height"],
+    "years": ["year", "years", "yr", "yrs"],
+    "shares": ["shares"],
+}
 
 
 def _map(pairs: dict) -> Column:
@@ -87,6 +96,15 @@ def scale_of(text: Column) -> Column:
     return found
 
 
+def unit_class(text: Column) -> Column:
+    """What a text's number counts: percent, money, area, storeys, years or shares; null without number or class."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+(?:-\p{L}+)*|[%$€£¥])"), F.lit(1))
+    found = F.lit(None).cast("string")
+    for name, units in reversed(UNIT_CLASSES.items()):
+        found = F.when(F.arrays_overlap(words, F.array(*(F.lit(u) for u in units))), name).otherwise(found)
+    return F.when(F.regexp_like(text, F.lit(r"\d")), found)
+
+
 def context_factor(text: Column) -> Column:
     """What amounts of a text that is "in millions" and the like are multiplied by; 1 if it isn't."""
     lower, found = F.lower(text), None

@@ -45,6 +45,11 @@ def with_parent(hits: DataFrame, passages: DataFrame) -> DataFrame:
     return hits.join(parents, "parent_oid", "left")
 
 
+def hierarchy_headers(chain: Column, text: str = "block_text") -> Column:
+    """The texts of a passage's level chain (array of structs, nearest first) from the outermost heading on."""
+    return F.reverse(F.transform(chain, lambda level: level[text]))
+
+
 def qa_text(block_type: Column, header: Column, text: Column, parent: Column, is_child: Column) -> Column:
     """What a question is put to: a table's heading, a child behind its parent, other text behind its heading."""
     body, head, above = (F.coalesce(c, F.lit("")) for c in (text, header, parent))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators.graph import connected_components
+from gleaner.operators.joins import lookup_join
 from gleaner.session import written
 
 SCOPE = ["criteria_uid", "file_idx"]
@@ -64,11 +65,15 @@ def location_edges(hits: DataFrame, reach: int = 3, least: float = 0.5) -> DataF
 def similar_edges(hits: DataFrame, least: float = 0.85) -> DataFrame:
     """(a, b): hits of one scope whose answers differ but have similar words; equal answers are represented by their lowest hit.
 
-    Answers meet only over one of their first words in order of the alphabet:
-    as many of them as leave too few for the cosine.
+    Answers meet only over one of their rarest words: as many of them as leave
+    too few for the cosine.
     """
     answers = hits.select("hit_id", *SCOPE, F.array_sort(F.array_distinct(T.tokens(F.col("answer")))).alias("words")).where(F.size("words") > 0)
-    distinct = answers.groupBy(*SCOPE, "words").agg(F.min("hit_id").alias("hit_id"))
+    once = written(answers.groupBy(*SCOPE, "words").agg(F.min("hit_id").alias("hit_id")))
+    each = once.select(*SCOPE, "hit_id", F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ordered = lookup_join(each, counts, "word", "hit_id", "inner").groupBy(*SCOPE, "hit_id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
+    distinct = ordered.select(*SCOPE, "hit_id", F.col("o.word").alias("words"))
     needed = F.ceil(F.size("words") * least * least - 1e-9)
     first = distinct.withColumn("word", F.explode(F.slice("words", F.lit(1), (F.size("words") - needed + 1).cast("int"))))
     other = first.select(*SCOPE, "word", F.col("hit_id").alias("b"), F.col("words").alias("bw"))

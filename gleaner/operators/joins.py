@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+BROADCAST_CHARACTERS = 30_000_000
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, spread: Column | str, how: str = "left", salts: int = 16) -> DataFrame:
     """``rows`` with the columns of ``table`` (one row per ``key``).
 
-    A small table, by a count of at most BROADCAST_ROWS, is broadcast. A larger
+    A small table, by a count of at most BROADCAST_ROWS rows and
+    BROADCAST_CHARACTERS characters as text, is broadcast. A larger
     one is repeated ``salts`` times and joined by (key, salt), the salt of a row
     taken from its column ``spread``, so that a key shared by a third of all
     rows is spread over as many tasks.
     """
-    if table.select(key).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    whole = F.length(F.to_json(F.struct(*table.columns)))
+    size = table.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(whole), F.lit(0)).alias("characters")).first()
+    if size["rows"] <= BROADCAST_ROWS and size["characters"] <= BROADCAST_CHARACTERS:
         return rows.join(F.broadcast(table), key, how)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     repeated = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))

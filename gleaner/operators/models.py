@@ -39,6 +39,58 @@ def overlap_score(question: Column, sentence: Column) -> Column:
     return F.coalesce(F.when(F.size(wanted) > 0, share), F.lit(0.0))
 
 
+# What questions with such openings ask for; the first that fits counts.
+ANSWER_TYPES: list[tuple[str, str]] = [
+    ("NUM:count", r"^how many\b"),
+    ("NUM:period", r"^how (?:long|often)\b|\b(?:term|period|duration)\b"),
+    ("NUM:perc", r"\b(?:percent|percentage|rate|share)\b"),
+    ("NUM:money", r"^how much\b|\b(?:price|amount|balance|rent|fee|cost|value)\b"),
+    ("NUM:date", r"^when\b|\b(?:date|day|year)\b"),
+    ("HUM:ind", r"^(?:who|whom|whose)\b"),
+    ("LOC:other", r"^where\b|\b(?:address|city|country|location)\b"),
+    ("DESC:reason", r"^why\b"),
+    ("DESC:manner", r"^how\b"),
+]
+
+
+def answer_type(question: Column) -> Column:
+    """Stand-in for the classifier of expected answers: the first rule that fits; '' for yes-or-no questions and what isn't a question."""
+    found = F.lit("ENTY:other")
+    for kind, rule in reversed(ANSWER_TYPES):
+        found = F.when(F.regexp_like(F.lower(question), F.lit(rule)), kind).otherwise(found)
+    return F.when(T.is_question(question) & ~T.is_bool_question(question), found).otherwise(F.lit(""))
+
+
+def question_keywords(question: Column) -> Column:
+    """Stand-in for linguistic decomposition: the runs of content words of a question, the longest first, then in order of the alphabet."""
+    cut = F.transform(T.tokens(question), lambda w: F.when(T.one_of(w, [*T.STOP_WORDS, *T.QUESTION_WORDS, *T.BOOL_QUESTION_WORDS]), "|").otherwise(w))
+    runs = F.filter(F.transform(F.split(F.array_join(cut, " "), r"\|"), lambda r: F.trim(r)), lambda r: r != "")
+    ordered = F.array_sort(F.transform(F.array_distinct(runs), lambda r: F.struct((-F.size(F.split(r, " "))).alias("n"), r.alias("r"))))
+    return F.coalesce(F.transform(ordered, lambda s: s["r"]), F.array().cast("array<string>"))
+
+
+def hashed_encoding(text: Column, d: int = 64) -> Column:
+    """Stand-in for a sentence encoder: the text's words counted in ``d`` hashed places, of length 1; null without words."""
+    words = T.tokens(text)
+    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(d)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(F.size(words) > 0, F.transform(counts, lambda x: (x / norm).cast("float")))
+
+
+def best_span(question: Column, text: Column) -> Column:
+    """Stand-in for span answering: (start_prob, answer), the sentence that holds most of the question's words, of equal ones the first."""
+    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?;])\s+"), lambda s: F.trim(s) != "")
+    scored = F.transform(sentences, lambda s, i: F.struct(overlap_score(question, s).alias("start_prob"), (-i).alias("i"), s.alias("answer")))
+    best = F.array_max(scored)
+    return F.when(F.size(sentences) > 0, F.struct(best["start_prob"].alias("start_prob"), best["answer"].alias("answer")))
+
+
+def extraction_wanted(disabled_by_task: bool, ad_hoc: bool, disabled_by_workspace: bool, one_file: bool) -> bool:
+    """Whether answers are extracted at all; a workspace's switch counts for ad-hoc requests about one file."""
+    return not disabled_by_task and not (ad_hoc and disabled_by_workspace and one_file)
+
+
 def boolean_answer(p_true: Column, p_false: Column, p_neutral: Column) -> Column:
     """Yes, No, or null if neutral is the likeliest."""
     return F.when((p_true >= p_false) & (p_true >= p_neutral), "Yes").when((p_false > p_true) & (p_false >= p_neutral), "No")

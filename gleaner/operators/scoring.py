@@ -93,6 +93,18 @@ def ngram_score(padded: Column, length: Column, grams: list[Gram], stats: FieldS
     return total([g.weight * phrase_score(padded, length, g.words, stats) for g in grams])
 
 
+def explained(padded: Column, length: Column, grams: list[Gram], stats: FieldStats) -> Column:
+    """The n-grams that a score comes from, as (term, weight), the heaviest first; repeated words are told once, by the longest n-gram they have."""
+    parts = [F.struct(F.round(g.weight * phrase_score(padded, length, g.words, stats), 4).alias("weight"), F.lit(" ".join(g.words)).alias("term")) for g in grams]
+    if not parts:
+        return F.array().cast("array<struct<term:string,weight:double>>")
+    hit = F.filter(F.array(*parts), lambda p: p["weight"] > 0)
+    padded_term = lambda p: F.concat(F.lit(" "), p["term"], F.lit(" "))
+    inside = lambda p: F.exists(hit, lambda o: (F.length(o["term"]) > F.length(p["term"])) & F.contains(padded_term(o), padded_term(p)))
+    order = F.transform(F.filter(hit, lambda p: ~inside(p)), lambda p: F.struct((-p["weight"]).alias("w"), p["term"].alias("t")))
+    return F.transform(F.array_sort(order), lambda p: F.struct(p["t"].alias("term"), (-p["w"]).alias("weight")))
+
+
 def unit_ngram_score(padded: Column, grams: list[Gram]) -> Column:
     """The same with a score of one for every n-gram that occurs."""
     return total([F.when(T.has_phrase(padded, list(g.words)), g.weight).otherwise(0.0) for g in grams])

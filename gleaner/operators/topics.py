@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.operators.joins import lookup_join
 
 
 def phrases(text: Column, stop: list[str] | None = None, least: int = 1, most: int | None = None) -> Column:
@@ -46,8 +47,8 @@ def cluster_titles(rows: DataFrame, cluster: str, label: str, vector: str, d: in
     """(cluster, title): the label whose vector is nearest to the cluster's mean, the smallest of equally near ones."""
     from gleaner.functions.vectors import cosine
 
-    centres = F.broadcast(cluster_centres(rows, cluster, vector, d)) if d <= 1024 else cluster_centres(rows, cluster, vector, d)
-    near = rows.join(centres, cluster).select(cluster, label, F.round(cosine(F.col(vector), F.col("centre")), 6).alias("near"))
+    joined = lookup_join(rows, cluster_centres(rows, cluster, vector, d), cluster, label, "inner")
+    near = joined.select(cluster, label, F.round(cosine(F.col(vector), F.col("centre")), 6).alias("near"))
     return near.groupBy(cluster).agg(F.min(F.struct(-F.col("near"), F.col(label))).alias("best")).select(cluster, F.col(f"best.{label}").alias("title"))
 
 

@@ -275,5 +275,5 @@ def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(embedding AS DOUBLE[])[i]) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1) USING (label) GROUP BY 1""")
 def cluster_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
-    near = rows.join(F.broadcast(C.cluster_centres(rows, "label", "embedding", 64)), "label").select("label", cosine(F.col("embedding"), F.col("centre")).alias("near"))
+    near = lookup_join(rows, C.cluster_centres(rows, "label", "embedding", 64), "label", "vec_id", "inner").select("label", cosine(F.col("embedding"), F.col("centre")).alias("near"))
     return near.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.round(F.avg("near"), 4).alias("cohesion"))

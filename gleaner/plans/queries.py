@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import group_queries, relational_queries, search_queries, value_queries  # noqa: F401  they register their queries
+from gleaner.plans import field_queries, group_queries, relational_queries, search_queries, value_queries  # noqa: F401  they register their queries
 from gleaner.plans.registry import QUERIES, SQL
 
 

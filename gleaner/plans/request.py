@@ -97,6 +97,25 @@ class Settings:
     dynamic_boosters_for_questions: bool = False
 
 
+def coerced(value: object, default: object) -> object:
+    """An option's text as what its default is: truth (1, true, yes, on), whole number, number, or text; the default if it isn't one."""
+    if not isinstance(value, str) or default is None:
+        return default if value is None else value
+    if isinstance(default, bool):
+        return value.strip().lower() in ("1", "true", "yes", "on")
+    try:
+        return type(default)(value.strip()) if isinstance(default, (int, float)) else value
+    except ValueError:
+        return default
+
+
+def settings_of(options: dict) -> Settings:
+    """Settings from an option file's groups (private_dictionary, search_settings, index_settings) or from plain options; unknown ones are ignored."""
+    flat = {**options, **(options.get("index_settings") or {}), **(options.get("search_settings") or {})}
+    known = Settings()
+    return replace(known, **{k: coerced(v, getattr(known, k)) for k, v in flat.items() if k in Settings.__dataclass_fields__ and v is not None})
+
+
 def passage_columns(passages: DataFrame) -> DataFrame:
     """Passages with the token arrays and padded texts that scores and filters use."""
     with_tokens = passages.withColumns({"tokens": T.tokens(F.col("match_text")), "header_tokens": T.tokens(F.col("header_text"))})

@@ -6,13 +6,15 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from gleaner.operators import fields as D
 from gleaner.operators import models as M
 from gleaner.operators import scoring as S
 from gleaner.operators import shaping as P
 from gleaner.operators import summary as Y
 from gleaner.operators import tables as B
+from gleaner.operators.dispatch import Registry
 from gleaner.operators.grouping import grouped
-from gleaner.plans.request import Criteria, Settings, apply, search
+from gleaner.plans.request import Criteria, Settings, apply, extract, search, search_all, settings_of
 from gleaner.sources.sinks import append_field, overwrite_field, page_of_files, read_any
 from gleaner.streaming import events as E
 from gleaner.streaming.extraction import extract_arrivals
@@ -144,3 +146,75 @@ def test_extraction_of_arrivals(spark, tmp_path, passages, files):
     run()
     both = spark.read.parquet(out).collect()
     assert first == {0, 1, 2} and {r["hit_id"] for r in both} == {0, 1, 2, 3} and len(both) == 4
+
+
+def test_two_criteria_in_one_pass(spark, passages, files):
+    named = files.withColumn("file_title", F.concat(F.lit("Report "), F.col("file_idx")))
+    asked = [Criteria("f2 | loan balance"), Criteria("What is the loan balance?", keywords=["loan"]), Criteria("was repaid", headers=["loans"])]
+    found = search_all(passages, named, asked, Settings(expand_children=False))
+    by = {}
+    for r in found.collect():
+        by.setdefault(r["criteria_uid"], set()).add(r["hit_id"])
+    assert by[asked[0].uid] == {3} and by[asked[1].uid] == {0, 1, 2, 3} and by[asked[2].uid] == {1}
+    alone = {(r["hit_id"], r["match_score"]) for r in search(passages, named, asked[1], Settings(expand_children=False)).collect()}
+    assert alone == {(r["hit_id"], r["match_score"]) for r in found.where(F.col("criteria_uid") == asked[1].uid).collect()}
+    with_words = Settings(file_dynamic_boosters={"file_title": 100.0}, dynamic_boosters_for_questions=True)
+    scores = {r["file_idx"]: r["file_score"] for r in search(passages, named, Criteria("What is the loan report?"), with_words).collect()}
+    assert min(scores.values()) > 100
+    assert {r["file_score"] > 7 for r in search(passages, named, asked[1], Settings(file_boosters=[F.when(F.col("n_pages") == 2, 7.0)])).where("file_idx = 'f2'").collect()} == {True}
+
+
+def test_children_of_hits_are_found(spark, files):
+    rows_ = [(0, "o0", "o0", "header", "Loan balance by year"), (1, "o1", "o0", "list_item", "first item"), (2, "o2", "o0", "list_item", "the loan balance itself"), (3, "o3", "o9", "para", "other")]
+    texts = spark.createDataFrame([(i, "f1", i, "c", o, p, b, 0, "single", "H", t, None, "x" if i == 1 else None, None) for i, o, p, b, t in rows_], PASSAGES)
+    got = {r["hit_id"]: r["match_score"] for r in search(texts, files, Criteria("loan balance")).collect()}
+    assert set(got) == {0, 1, 2} and got[1] == got[0]
+    assert {r["hit_id"] for r in search(texts, files, Criteria("loan balance"), Settings(expand_children=False)).collect()} == {0, 2}
+    context = apply(texts, files, [Criteria("loan balance", before_context_window=1, after_context_window=7)]).where("hit_id = 2").first()["context"]
+    assert context == "first item the loan balance itself other"
+
+
+def test_gate_tables_and_order(spark, passages, files):
+    asked = [Criteria("What is the loan covenant ratio balance?")]
+    hits = search_all(passages, files, asked)
+    assert extract(hits, passages, asked).where("answer is not null").count() == 0  # no text holds half of the question's words
+    assert extract(hits, passages, asked, Settings(qnli_threshold=0.1)).where("answer is not null").count() == 2
+    table = hits.limit(1).withColumn("block_type", F.lit("table"))
+    read = table.select("hit_id", F.lit(0.5).alias("table_score"), F.lit("7").alias("table_answer"))
+    row = extract(table, passages, asked, tables=read).first()
+    assert (row["table_score"], row["answer"]) == (0.5, "7")
+
+
+def test_processors_are_looked_up():
+    known = Registry()
+    known.register("NumberFormatter", lambda kind="MONEY", only=False: (kind, only))
+    assert known("NumberFormatter('UNITS', only=True)") == ("UNITS", True) and known("NumberFormatterProcessor") == ("MONEY", False)
+    assert known("Missing()") is None and known("NumberFormatter(open('x'))") is None and known("a; b") is None and known("NumberFormatter(1, 2, 3)", "d") == "d"
+    assert known.chain(["NumberFormatter", "Bad("], "default") == [("MONEY", False)] and known.chain(None, "default") == ["default"]
+
+
+def test_settings_and_fields(spark):
+    made = settings_of({"doc_per_page": "7", "search_settings": {"perform_only_dpr": "true", "sif_threshold": "0.6", "topn": "x"}, "private_dictionary": {"a": ["b"]}, "other": 1})
+    assert (made.doc_per_page, made.perform_only_dpr, made.sif_threshold, made.topn, made.private_dictionary) == (7, True, 0.6, -1, {"a": ["b"]})
+    table = spark.createDataFrame([("u1", None, None, None), ("u2", "q", ["h"], 3)], "criteria_uid string, question string, headers array<string>, page_start int")
+    assert D.field_definitions(table, ["u2", "x", "u1"]) == [{"criteria_uid": "u2", "question": "q", "headers": ["h"], "page_start": 3}, {"criteria_uid": "u1", "question": "", "headers": [], "page_start": -1}]
+    with pytest.raises(ValueError):
+        D.field_definitions(table, ["a", "b"], most=1)
+
+
+def test_stand_ins(spark):
+    row = spark.range(1).select(
+        M.best_span(F.lit("where is the loan"), F.lit("No. The loan is here. The loan was.")).alias("span"), M.hashed_encoding(F.lit("a b a"), 8).alias("v"),
+        M.hashed_encoding(F.lit("--"), 8).alias("none"), M.question_keywords(F.lit("What is the loan balance of rent")).alias("k"),
+    ).first()
+    assert row["span"]["answer"] == "The loan is here." and abs(sum(x * x for x in row["v"]) - 1) < 1e-6 and row["none"] is None and row["k"] == ["loan balance", "rent"]
+    assert not M.extraction_wanted(True, False, False, False) and M.extraction_wanted(False, True, True, False) and not M.extraction_wanted(False, True, True, True)
+
+
+def test_filters_come_before_distinct(spark, tmp_path, passages):
+    from gleaner.plans.queries import queries
+
+    root = str(tmp_path)
+    passages.write.parquet(f"{root}/matches.parquet")
+    plan = queries()["keyword_and_or"](spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("Exchange") < plan.rindex("Filter")
