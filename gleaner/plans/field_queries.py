@@ -16,11 +16,14 @@ from gleaner.plans.request import passage_columns
 from gleaner.plans.search_queries import GRAMS, WORDS, _sql_phrase, _sql_stats, criteria, deliveries, hits
 
 TOPICS = ["NUM:money", "NUM:date", "ORG"]
-RULES = {
-    "amount_known": F.when(F.coalesce(F.trim("formatted_answer"), F.lit("")) != "", "yes"),
-    "needs_review": F.when(F.coalesce("has_answer", F.lit(False)) & (F.coalesce(F.trim("answer"), F.lit("")) == ""), "yes"),
-    "page": (F.col("page_idx") + 1).cast("string"),
-}
+
+def rules() -> dict:
+    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    return {
+        "amount_known": F.when(filled("formatted_answer"), "yes"),
+        "needs_review": F.when(F.coalesce("has_answer", F.lit(False)) & ~filled("answer"), "yes"),
+        "page": (F.col("page_idx") + 1).cast("string"),
+    }
 
 
 @query("""SELECT criteria_uid, coalesce(question, '') AS question, coalesce(expected_answer_type, '') AS expected_answer_type, coalesce(group_flag, '') AS group_flag,
@@ -32,12 +35,12 @@ def field_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(*plain, F.size("templates").cast("long").alias("templates"), F.size("headers").cast("long").alias("headers"))
 
 
-_ASKS = rf"""list_filter(regexp_split_to_array(lower(trim(question)), '\s+'), lambda w: w <> '')"""
+_ASKS = r"list_filter(regexp_split_to_array(lower(trim({})), '\s+'), lambda w: w <> '')"
 _KINDS = " ".join(rf"WHEN regexp_matches(lower(question), '{rule}') THEN '{kind}'" for kind, rule in M.ANSWER_TYPES)
 
 
-@query(f"""WITH q AS (SELECT criteria_uid, question, {_ASKS} AS a FROM criteria)
-SELECT criteria_uid, CASE WHEN len(a) > 1 AND a[1] IN ({sql_words(T.QUESTION_WORDS)}) THEN CASE {_KINDS} ELSE 'ENTY:other' END ELSE '' END AS kind FROM q""")
+@query(f"""WITH q AS (SELECT criteria_uid, question, {_ASKS.format("CASE WHEN contains(question, '|') THEN split_part(question, '|', 2) ELSE question END")} AS a, {_ASKS.format('question')} AS b FROM criteria)
+SELECT criteria_uid, CASE WHEN len(a) > 1 AND a[1] IN ({sql_words(T.QUESTION_WORDS + T.BOOL_QUESTION_WORDS)}) AND NOT (len(b) > 1 AND b[1] IN ({sql_words(T.BOOL_QUESTION_WORDS)})) THEN CASE {_KINDS} ELSE 'ENTY:other' END ELSE '' END AS kind FROM q""")
 def answer_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return criteria(spark, sf_dir).select("criteria_uid", M.answer_type(F.col("question")).alias("kind"))
 
@@ -87,7 +90,7 @@ def topic_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT hit_id, 'needs_review', 'yes' FROM h WHERE coalesce(has_answer, false) AND trim(coalesce(answer, '')) = ''
 UNION ALL SELECT hit_id, 'page', CAST(page_idx + 1 AS VARCHAR) FROM h WHERE page_idx IS NOT NULL""")
 def derived_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.derived_fields(deliveries(spark, sf_dir), RULES, ["hit_id"]).distinct()
+    return D.derived_fields(deliveries(spark, sf_dir), rules(), ["hit_id"]).distinct()
 
 
 @query(f"""WITH {HITS}, u AS (SELECT DISTINCT oid, match_text AS parent_text FROM h)

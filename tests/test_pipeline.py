@@ -175,7 +175,7 @@ def test_children_of_hits_are_found(spark, files):
 
 
 def test_gate_tables_and_order(spark, passages, files):
-    asked = [Criteria("What is the loan covenant ratio balance?")]
+    asked = [Criteria("What is the loan covenant ratio of the balance sheet?")]
     hits = search_all(passages, files, asked)
     assert extract(hits, passages, asked).where("answer is not null").count() == 0  # no text holds half of the question's words
     assert extract(hits, passages, asked, Settings(qnli_threshold=0.1)).where("answer is not null").count() == 2
