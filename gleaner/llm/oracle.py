@@ -60,6 +60,19 @@ e AS (SELECT field, a, b FROM l UNION ALL SELECT field, b, a FROM l),
 r AS (SELECT DISTINCT field, a AS root, a AS id FROM e UNION SELECT r.field, r.root, e.b FROM r JOIN e ON e.field = r.field AND e.a = r.id),
 m AS (SELECT field, id, min(root) AS first FROM r GROUP BY ALL)
 """
+#: Representatives are the smallest ids of equal word sets or vectors; density is the copies of a representative and of its neighbours.
+DESCRIBED = """,
+w2 AS (SELECT 'match_text' AS field, id, list_sort(w)::VARCHAR AS same FROM w WHERE len(w) >= 8 UNION ALL SELECT 'query_sif_embeddings', id, v::VARCHAR FROM v),
+p AS (SELECT field, id, min(id) OVER (PARTITION BY field, same) AS rep, count(*) OVER (PARTITION BY field, same) AS weight FROM w2),
+n AS (
+  SELECT e.field, e.a AS id, sum(y.weight) AS near FROM e JOIN p x ON x.field = e.field AND x.id = e.a AND x.rep = x.id
+  JOIN p y ON y.field = e.field AND y.id = e.b AND y.rep = y.id GROUP BY ALL),
+d AS (
+  SELECT m.field, m.first, m.id, row_number() OVER (PARTITION BY m.field, m.first ORDER BY p.weight + coalesce(n.near, 0) DESC, m.id) AS place
+  FROM m JOIN p ON p.field = m.field AND p.id = m.id AND p.rep = p.id LEFT JOIN n ON n.field = m.field AND n.id = m.id),
+z AS (SELECT field, first, count(*) AS size FROM m GROUP BY ALL)
+SELECT z.field, z.first AS first_id, z.size, list(d.id ORDER BY place) FILTER (place <= 3) AS typical_ids FROM z JOIN d ON d.field = z.field AND d.first = z.first GROUP BY ALL
+"""
 NEAREST = """
 WITH u AS (
   SELECT DISTINCT 'query_sif_embeddings' AS field, query_id, query_sif_embeddings AS v FROM query_builders
@@ -110,6 +123,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": TOP + "SELECT file_idx, match_idx FROM r WHERE rank <= 3",
         "p2_top_matches": TOP + "SELECT * FROM r WHERE rank <= 3",
         "p3_found": LINKS + "SELECT field, first AS first_id, id AS member_id FROM m WHERE id <> first",
+        "p3_clusters": LINKS + DESCRIBED,
         "p5_found": NEAREST + "SELECT DISTINCT field, least(a, b) AS query_id_a, greatest(a, b) AS query_id_b FROM r WHERE rank <= 5",
         "p6_found": RANKS
         + """SELECT criteria_uid, file_idx, match_idx FROM o WHERE n_items >= 8 AND

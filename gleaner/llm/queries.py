@@ -104,6 +104,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = written(token_counts(read_table(spark, sf_dir, "documents"), ["doc_id"], "text"))
     specs = read_table(spark, sf_dir, "bin_specs").where("spec_id is not null and capacity_tokens > 0").distinct().collect()
+    if not specs:
+        return spark.createDataFrame([], "spec_id string, container long, doc_id long, piece int, first_token long, n_tokens long")
     packed = [pack(sizes, "doc_id", "n_tokens", r["capacity_tokens"]).withColumn("spec_id", F.lit(r["spec_id"])) for r in specs]
     whole = packed[0]
     for other in packed[1:]:

@@ -126,7 +126,8 @@ def test_text_clusters_against_brute_force(spark):
     assert got == {i: c for i, c in expected.items() if list(expected.values()).count(c) > 1}
     sizes = {r["first_id"]: r["size"] for r in described(clusters).collect()}
     assert sizes == {c: list(expected.values()).count(c) for c in set(got.values())}
-    members, links = similar_sets(df, "id", "t")
+    members, links, classes = similar_sets(df, "id", "t")
+    assert classes is None
     rep = dict(map(tuple, members.collect()))
     assert {(r["a"], r["b"]) for r in links.collect()} == {
         tuple(sorted((rep[a], rep[b]))) for a, b in combinations(sets, 2) if rep[a] != rep[b] and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])
@@ -134,6 +135,28 @@ def test_text_clusters_against_brute_force(spark):
     assert text_clusters(df.limit(0), "id", "t").count() == 0
 
 
+def test_texts_that_differ_in_one_word_make_no_pairs(spark, monkeypatch):
+    """Many texts of one pattern, some of which have other neighbours, too: the clusters and densities are those of all pairs."""
+    monkeypatch.setattr("gleaner.llm.set_join.CLASS_SETS", 20)
+    monkeypatch.setattr("gleaner.llm.set_join.LONG_RUN", 30)
+    letters = lambda i: f"x{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    pattern = "this is the same lease of one house".split()
+    texts = [" ".join([*pattern, letters(i)]) for i in range(120)]
+    texts += [" ".join([*pattern[:7], letters(i), "more"]) for i in range(0, 120, 3)] + [" ".join([*pattern, letters(5), letters(6)])] + texts[:10]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    sets = {i: frozenset(t.split()) for i, t in enumerate(texts)}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])
+    members, links, classes = similar_sets(df, "id", "t")
+    assert classes.count() >= 120 and links.count() < 2500
+    expected = brute_clusters(sets, alike)
+    got = {r["id"]: r for r in text_clusters(df, "id", "t").collect()}
+    assert {i: r["cluster"] for i, r in got.items()} == {i: c for i, c in expected.items() if list(expected.values()).count(c) > 1}
+    assert all(r["density"] == sum(alike(i, j) for j in sets) for i, r in got.items())
+    plain = {(r["id"], r["cluster"], r["density"]) for r in got.values()}
+    monkeypatch.setattr("gleaner.llm.set_join.CLASS_SETS", 10**9)
+    assert plain == {(r["id"], r["cluster"], r["density"]) for r in text_clusters(df, "id", "t").collect()}
+
+
 def test_block_keys_meet():
     rng = random.Random(5)
     share = {w: rng.random() for w in range(30)}
