@@ -36,6 +36,8 @@ ROUNDING = 0.001
 QUERIES = 1_024
 #: The visited leaves must hold this share of those neighbours, or all of them where a least cosine is asked for.
 RECALL = 0.96
+#: A block of a leaf with more links a row than this makes only those that keep its parts together.
+DENSE = 64
 STRIP_ROWS = 512
 #: The largest cosine of so many members each gives a bound for the k-th largest of all.
 BOUND_ROWS = 64
@@ -151,6 +153,41 @@ def pairs_in_block(
                 yield at + q, col + m, cosines[q, m]
 
 
+def links_in_block(ids: np.ndarray, x: np.ndarray, own: np.ndarray, own_x: np.ndarray, floor: float, sure: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, id, cosine) of the pairs of queries and members from ``floor`` on, and in dense blocks (query, query, pairs left out).
+
+    In a block with more than ``DENSE`` pairs a row, a pair whose ends both have at
+    least ``sure`` with one member, the hub, is left out: both are
+    linked to the hub, so they stay connected.
+    """
+    for at in range(0, len(ids), 1024):
+        part, rows_x = ids[at : at + 1024], x[at : at + 1024]
+        for col in range(0, len(own), BLOCK_ROWS):
+            members, members_x = own[col : col + BLOCK_ROWS], own_x[col : col + BLOCK_ROWS]
+            q, m, near = (np.concatenate(c) for c in zip(*(p for p in pairs_in_block(part, rows_x, members, members_x, None, floor)), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)), strict=True))
+            most = DENSE * (len(part) + len(members))
+            left_out = np.zeros(len(part), dtype=np.int64)
+            open_pairs = near >= sure
+            while np.count_nonzero(open_pairs) > most:
+                hub = np.bincount(m[open_pairs], minlength=len(members)).argmax()
+                of_query = np.zeros(len(part), dtype=bool)
+                of_query[q[open_pairs & (m == hub)]] = True
+                to_hub = members_x @ members_x[hub]
+                of_member = to_hub >= sure
+                of_member[hub] = True
+                covered = open_pairs & of_query[q] & of_member[m]
+                star = covered & (m == hub)
+                yield part[q[star]], np.full(np.count_nonzero(star), members[hub]), near[star]
+                others = np.flatnonzero(of_member & (members != members[hub]))
+                yield members[others], np.full(len(others), members[hub]), to_hub[others]
+                left_out += np.bincount(q[covered & ~star], minlength=len(part))
+                keep = ~covered
+                q, m, near, open_pairs = q[keep], m[keep], near[keep], open_pairs[keep]
+            yield part[q], members[m], near
+            some = np.flatnonzero(left_out)
+            yield part[some], part[some], left_out[some].astype(np.float32)
+
+
 def best_of_each(a: np.ndarray, b: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` nearest of each ``a``, of equally near ones those with lower ``b``."""
     order = np.lexsort((b, -near, a))
@@ -336,14 +373,23 @@ def _search(d: int, k: int | None, floor: float, parts: int) -> Callable:
             found = []
             for i, j in zip(start, np.r_[start[1:], len(place)], strict=True):
                 lo, hi = np.searchsorted(own_place, [place[i], place[i] + 1])
-                if lo < hi:
+                if lo < hi and k is None:
+                    rows = at[i:j]
+                    found += links_in_block(ids[rows], x[rows], own[lo:hi], own_x[lo:hi], floor, floor + 2 * ROUNDING)
+                elif lo < hi:
                     rows = at[i:j]
                     found += [(rows[q], lo + m, near) for q, m, near in pairs_in_block(ids[rows], x[rows], own[lo:hi], own_x[lo:hi], k, floor)]
             if not found:
                 continue
             q, m, near = (np.concatenate(c) for c in zip(*found, strict=True))
             if k is None:
-                yield packed(np.minimum(ids[q], own[m]), np.maximum(ids[q], own[m]), near)
+                a, b = np.minimum(q, m), np.maximum(q, m)
+                counts = a == b
+                ids_of, place = np.unique(a[counts], return_inverse=True)
+                whole = np.bincount(place, near[counts], minlength=len(ids_of)).astype(np.float32)
+                a, b, near = np.r_[a[~counts], ids_of], np.r_[b[~counts], ids_of], np.r_[near[~counts], whole]
+                if len(a):
+                    yield packed(a, b, near)
                 continue
             best = best_of_each(ids[q], own[m], near, k)
             yield packed(ids[q[best]], own[m[best]], near[best])
@@ -368,7 +414,7 @@ def _search(d: int, k: int | None, floor: float, parts: int) -> Callable:
 
 
 def _merge(k: int | None) -> Callable:
-    """Distinct pairs of a part, with ``k`` the best of each query."""
+    """Distinct pairs of a part, with ``k`` the best of each query; the largest of a query's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -377,7 +423,7 @@ def _merge(k: int | None) -> Callable:
                 held.setdefault(part, []).append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(near, np.float32)))
         for part in list(held):
             a, b, near = (np.concatenate(c) for c in zip(*held.pop(part), strict=True))
-            order = np.lexsort((b, a))
+            order = np.lexsort((-near, b, a))
             order = order[np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]]
             a, b, near = a[order], b[order], near[order]
             best = slice(None) if k is None else best_of_each(a, b, near, k)
@@ -420,7 +466,11 @@ def _without_copies(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame |
 def candidates(
     df: DataFrame, id: str, vector: str, d: int, k: int | None, floor: float, trees: int = TREES, probes: int = PROBES, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
-    """(pairs a, b, near; usable rows; copies left out; copies kept): leaf candidates of each usable vector, each pair once."""
+    """(pairs a, b, near; usable rows; copies left out; copies kept): leaf candidates of each usable vector, each pair once.
+
+    Without ``k`` the pairs connect what all pairs from ``floor`` on connect; where
+    many were left out, a row with a = b has their number as near.
+    """
     vec = F.col(vector)
     copy = F.struct(F.xxhash64(vec), F.xxhash64(F.lit(1), vec))  # 128 bits
     rows = df.select(F.col(id).cast("long").alias("id"), vec.alias("vec"), copy.alias("copy")).where(F.col("id").isNotNull() & usable(vec, d))
@@ -454,7 +504,7 @@ def candidates(
 
 def exact_pairs(found: DataFrame, rows: DataFrame, floor: float) -> DataFrame:
     """(a, b, cosine) with a < b: the distinct pairs of ``found`` with their exact cosine, from ``floor`` on."""
-    pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = written(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     vectors = written(rows.join(needed, "id", "left_semi").groupBy("id").agg(F.min("vec").alias("vec")))
     with_a = pairs.join(vectors.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")

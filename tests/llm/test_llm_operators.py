@@ -11,7 +11,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gleaner.llm.clusters import density_peaks, described, joined_clusters, text_clusters, vector_clusters
-from gleaner.llm.forest import fit_trees, pairs_in_block, similar_vectors, unit, visit_order
+from gleaner.llm.forest import candidates, fit_trees, pairs_in_block, similar_vectors, unit, visit_order
 from gleaner.llm.line_frequency import line_frequency
 from gleaner.llm.mixing import Leaf, full_total, mix, mix_report, plan_budgets
 from gleaner.llm.packing import pack, shortest_pack_first
@@ -299,6 +299,25 @@ def test_leaves_beyond_the_deepest_level_are_compared_whole(spark, monkeypatch):
     assert len(found & true) >= 0.95 * len(true)
 
 
+def test_dense_vectors_make_few_links(spark, monkeypatch):
+    monkeypatch.setattr("gleaner.llm.forest.DENSE", 2)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 64))
+    x[::3] = rng.normal(size=64) + 0.2 * x[::3]
+    x[1::9] = x[0] + 0.25 * x[1::9]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<float>")
+    c = unit(x) @ unit(x).T
+    expected = brute_clusters(range(900), lambda a, b: c[a, b] >= 0.9)
+    got = vector_clusters(df, "id", "v").collect()
+    assert {r["id"]: r["cluster"] for r in got} == {i: k for i, k in expected.items() if list(expected.values()).count(k) > 1}
+    found = candidates(df, "id", "v", 64, None, 0.9)[0].collect()
+    links = sum(r["a"] != r["b"] for r in found)
+    assert links < ((c >= 0.9).sum() - 900) / 4 and len(found) > links
+    densest = max(got, key=lambda r: (r["density"], -r["id"]))["id"]
+    assert (c[densest] >= 0.9).sum() > 0.8 * (c >= 0.9).sum(axis=1).max()
+
+
 def test_vector_clusters_against_brute_force(spark):
     x = vectors(120)
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<float>")
