@@ -56,3 +56,42 @@ def with_summary(hits: DataFrame, summaries: DataFrame, place: int = 10_000, sco
 
 def page(rows: DataFrame, order: list, offset: int, size: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(size)
+
+
+# The fields of a fact. Those of the first list have their own names in hits, scores come from other columns.
+PLAIN_FIELDS = "match_idx page_idx block_type answer entity_types entity_list cross_references answer_details group_type bbox parent_text header_text hierarchy_headers summary_references criteria_uid file_idx file_name file_title file_meta".split()
+SCORE_FIELDS = {
+    "match_score": "match_score", "raw_match_score": "raw_match_score", "relevancy_score": "relevancy_score", "qa_score": "squad_score", "group_score": "group_score",
+    "table_score": "table_score", "file_score": "file_score", "semantic_score": "sif_score", "boolq_score": "boolq_score", "retriever_raw_score": "cross_encoder_raw_score",
+}
+TERM_FIELDS = "match_text_terms match_semantic_terms header_text_terms header_semantic_terms hierarchy_headers_text_terms block_text_terms".split()
+RELATION_FIELDS = "relation_head relation_tail relation_head_prob relation_tail_prob".split()
+
+
+def fact_fields(hits: DataFrame, is_question: Column) -> DataFrame:
+    """One flat row of a fact's fields for every hit; what hits have no column for is null, 0 or an empty list.
+
+    A heading's phrase is its own text, a missing formatted answer is the
+    answer, the retriever's score is the cross-encoder's where there is one, else the
+    entailment's, a table is what was read from it, else the whole. The scaled
+    score is only shown for questions. ``uniq_id`` hashes criterion, hit and answers.
+    """
+    held = set(hits.columns)
+    column = lambda name, kind="string": F.col(name) if name in held else F.lit(None).cast(kind)
+    score = lambda name: F.coalesce(F.nanvl(column(name, "double"), F.lit(None).cast("double")), F.lit(0.0))
+    formatted = F.coalesce(column("formatted_answer"), column("answer"))
+    fields = {name: column(name) for name in [*PLAIN_FIELDS, *RELATION_FIELDS]}
+    fields |= {name: score(source) for name, source in SCORE_FIELDS.items()}
+    fields |= {name: F.coalesce(column(name, "array<string>"), F.array().cast("array<string>")) for name in TERM_FIELDS}
+    fields |= {
+        "formatted_answer": formatted,
+        "phrase": F.when(F.col("block_type") == "header", F.coalesce(column("block_text"), column("match_text"))).otherwise(column("match_text")),
+        "table": F.coalesce(F.nullif(column("table_answer"), F.lit("")), column("table")),
+        "table_all": column("table"),
+        "retriever_score": F.coalesce(column("cross_encoder_score", "double"), score("qnli_score")),
+        "scaled_score": F.when(is_question, column("scaled", "double") if "scaled" in held else column("scaled_score", "double")),
+        "criteria_question": column("question"),
+        "is_override": F.lit(False),
+        "uniq_id": F.xxhash64(F.concat_ws(":", column("criteria_uid"), F.col("hit_id").cast("string"), F.coalesce(column("answer"), F.lit("")), F.coalesce(formatted, F.lit("")))),
+    }
+    return hits.select("hit_id", *(c.alias(n) for n, c in fields.items()))

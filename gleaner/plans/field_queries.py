@@ -11,12 +11,14 @@ from gleaner.operators import fields as D
 from gleaner.operators import models as M
 from gleaner.operators import scoring as S
 from gleaner.operators.context import hierarchy_headers, with_parent
-from gleaner.plans.registry import HITS, query, sql_padded, sql_tokens, sql_words
+from gleaner.operators.shaping import fact_fields
+from gleaner.plans.registry import HITS, SCORES, query, sql_padded, sql_tokens, sql_words
 from gleaner.plans.request import passage_columns
-from gleaner.plans.search_queries import GRAMS, WORDS, _sql_phrase, _sql_stats, criteria, deliveries, hits
+from gleaner.plans.search_queries import GRAMS, WORDS, _sql_phrase, _sql_stats, criteria, deliveries, hits, scores, with_criteria
 
 TOPICS = ["NUM:money", "NUM:date", "ORG"]
 
+
 def rules() -> dict:
     filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     return {
@@ -99,3 +101,17 @@ def header_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_parent(hits(spark, sf_dir), hits(spark, sf_dir))
     level = lambda c: F.struct(F.coalesce(c, F.lit("")).alias("block_text"))
     return rows.select("hit_id", F.array_join(hierarchy_headers(F.array(level("header_text"), level("parent_text"))), " > ").alias("path"))
+
+
+@query(f"""WITH {HITS}, {SCORES}, x AS (SELECT h.hit_id, h.block_type, h.answer, h.formatted_answer, h.match_text, s.* EXCLUDE (file_idx, match_idx, criteria_uid, loaded_at, scored_at), c.question
+  FROM h JOIN s USING (file_idx, match_idx, criteria_uid) JOIN criteria c USING (criteria_uid))
+SELECT hit_id, match_text AS phrase, coalesce(formatted_answer, answer) AS formatted_answer, question AS criteria_question,
+  round(coalesce(CASE WHEN isnan(match_score) THEN NULL ELSE match_score END, 0), 6) AS match_score, round(coalesce(squad_score, 0), 6) AS qa_score,
+  round(coalesce(cross_encoder_score, qnli_score, 0), 6) AS retriever_score, round(coalesce(sif_score, 0), 6) AS semantic_score FROM x""")
+def fact_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = ["file_idx", "match_idx", "criteria_uid"]
+    scored = hits(spark, sf_dir).drop("loaded_at").join(scores(spark, sf_dir).drop("loaded_at", "scored_at"), own)
+    asked = with_criteria(scored, spark, sf_dir, "question")
+    facts = fact_fields(asked, T.is_question(F.coalesce("question", F.lit(""))))
+    rounded = [F.round(c, 6).alias(c) for c in ("match_score", "qa_score", "retriever_score", "semantic_score")]
+    return facts.select("hit_id", "phrase", "formatted_answer", "criteria_question", *rounded)
