@@ -20,7 +20,7 @@ MAX_DEPTH = 12
 #: All margins of a level are taken at once while the trees have so many nodes there; deeper, only those of branches that can still be visited.
 WIDE_NODES = 2_048
 SAMPLE_ROWS = 16_384
-CHUNK_ROWS = 32_768
+CHUNK_ROWS = 16_384
 #: A task compares the leaves of a tree that follow each other and hold about so many rows.
 BUCKET_ROWS = 65_536
 PART_ROWS = 16_384
