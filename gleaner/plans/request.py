@@ -150,7 +150,8 @@ class Asked:
     @staticmethod
     def of(criteria: Criteria, settings: Settings) -> Asked:
         c = criteria.normalised()
-        texts, _ = T.expanded_synonyms(c.question, settings.private_dictionary)
+        questions = [c.question, *(q.strip().lower() for q in c.additional_questions or [] if q and q.strip())]
+        texts = [t for q in questions for t in T.expanded_synonyms(q, settings.private_dictionary)[0]]
         grams = list({g.words: g for t in texts for g in S.query_grams(t)}.values())
         headers = {w for h in c.headers if not h.lower().startswith(X.NEGATION) for g in S.query_grams(h) for w in g.words}
         return Asked(criteria, grams, sorted({w for g in grams for w in g.words}), sorted(headers))

@@ -158,6 +158,8 @@ def test_two_criteria_in_one_pass(spark, passages, files):
     assert by[asked[0].uid] == {3} and by[asked[1].uid] == {0, 1, 2, 3} and by[asked[2].uid] == {1}
     alone = {(r["hit_id"], r["match_score"]) for r in search(passages, named, asked[1], Settings(expand_children=False)).collect()}
     assert alone == {(r["hit_id"], r["match_score"]) for r in found.where(F.col("criteria_uid") == asked[1].uid).collect()}
+    also = search(passages, named, Criteria("Was it repaid?", additional_questions=["balance", None, " "]), Settings(expand_children=False))
+    assert {r["hit_id"] for r in also.collect()} == {0, 1, 2, 3}
     with_words = Settings(file_dynamic_boosters={"file_title": 100.0}, dynamic_boosters_for_questions=True)
     scores = {r["file_idx"]: r["file_score"] for r in search(passages, named, Criteria("What is the loan report?"), with_words).collect()}
     assert min(scores.values()) > 100
