@@ -36,7 +36,7 @@ ROUNDING = 0.001
 QUERIES = 1_024
 #: The visited leaves must hold this share of those neighbours, or all of them where a least cosine is asked for.
 RECALL = 0.96
-#: A block of a leaf with more links a row than this makes only those that keep its parts together.
+#: A block of a leaf with more links a row than this makes only those that keep its parts together; ``weights_of_near`` then counts all.
 DENSE = 64
 STRIP_ROWS = 512
 #: The largest cosine of so many members each gives a bound for the k-th largest of all.
@@ -154,11 +154,12 @@ def pairs_in_block(
 
 
 def links_in_block(ids: np.ndarray, x: np.ndarray, own: np.ndarray, own_x: np.ndarray, floor: float, sure: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, id, cosine) of the pairs of queries and members from ``floor`` on, and in dense blocks (query, query, pairs left out).
+    """(id, id, cosine) of the pairs of queries and members from ``floor`` on, and in dense blocks (id, id, 1) of both ends of pairs that are no links.
 
     In a block with more than ``DENSE`` pairs a row, a pair whose ends both have at
-    least ``sure`` with one member, the hub, is left out: both are
-    linked to the hub, so they stay connected.
+    least ``sure`` with one member, the hub, is no link: both are
+    linked to the hub, so they stay connected. Who has such pairs is
+    marked, and its neighbours are counted by ``weights_of_near``.
     """
     for at in range(0, len(ids), 1024):
         part, rows_x = ids[at : at + 1024], x[at : at + 1024]
@@ -166,7 +167,7 @@ def links_in_block(ids: np.ndarray, x: np.ndarray, own: np.ndarray, own_x: np.nd
             members, members_x = own[col : col + BLOCK_ROWS], own_x[col : col + BLOCK_ROWS]
             q, m, near = (np.concatenate(c) for c in zip(*(p for p in pairs_in_block(part, rows_x, members, members_x, None, floor)), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)), strict=True))
             most = DENSE * (len(part) + len(members))
-            left_out = np.zeros(len(part), dtype=np.int64)
+            marked_query, marked_member = np.zeros(len(part), dtype=bool), np.zeros(len(members), dtype=bool)
             open_pairs = near >= sure
             while np.count_nonzero(open_pairs) > most:
                 hub = np.bincount(m[open_pairs], minlength=len(members)).argmax()
@@ -180,12 +181,33 @@ def links_in_block(ids: np.ndarray, x: np.ndarray, own: np.ndarray, own_x: np.nd
                 yield part[q[star]], np.full(np.count_nonzero(star), members[hub]), near[star]
                 others = np.flatnonzero(of_member & (members != members[hub]))
                 yield members[others], np.full(len(others), members[hub]), to_hub[others]
-                left_out += np.bincount(q[covered & ~star], minlength=len(part))
+                marked_query[q[covered & ~star]] = True
+                marked_member[m[covered & ~star]] = True
                 keep = ~covered
                 q, m, near, open_pairs = q[keep], m[keep], near[keep], open_pairs[keep]
             yield part[q], members[m], near
-            some = np.flatnonzero(left_out)
-            yield part[some], part[some], left_out[some].astype(np.float32)
+            marked = np.unique(np.r_[part[marked_query], members[marked_member]])
+            yield marked, marked, np.ones(len(marked), dtype=np.float32)
+
+
+def weights_of_near(x: np.ndarray, own_x: np.ndarray, weights: np.ndarray, floor: float) -> np.ndarray:
+    """For each vector of ``x`` the weight of those of ``own_x`` with a cosine of at least ``floor``, near the floor by ``_cosine``'s order of sums."""
+    x, own_x = x.astype(np.float64), own_x.astype(np.float64)
+    square, own_square = (np.add.accumulate(v * v, axis=1)[:, -1] for v in (x, own_x))
+    unit_x, own_unit = unit(x).astype(np.float32), unit(own_x).astype(np.float32)
+    by_element, own_by_element = np.ascontiguousarray(x.T), np.ascontiguousarray(own_x.T)
+    total = np.zeros(len(x), dtype=np.int64)
+    for at in range(0, len(x), 1024):
+        for col in range(0, len(own_x), BLOCK_ROWS):
+            cosines = unit_x[at : at + 1024] @ own_unit[col : col + BLOCK_ROWS].T
+            near = cosines >= floor + ROUNDING
+            q, m = np.nonzero((cosines >= floor - ROUNDING) & ~near)
+            dot = np.zeros(len(q))
+            for p, o in zip(by_element, own_by_element, strict=True):
+                dot += p[at + q] * o[col + m]
+            near[q, m] = dot / np.sqrt(square[at + q] * own_square[col + m]) >= floor
+            total[at : at + 1024] += (near.astype(np.float64) @ weights[col : col + BLOCK_ROWS]).astype(np.int64)
+    return total
 
 
 def best_of_each(a: np.ndarray, b: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
@@ -383,13 +405,8 @@ def _search(d: int, k: int | None, floor: float, parts: int) -> Callable:
                 continue
             q, m, near = (np.concatenate(c) for c in zip(*found, strict=True))
             if k is None:
-                a, b = np.minimum(q, m), np.maximum(q, m)
-                counts = a == b
-                ids_of, place = np.unique(a[counts], return_inverse=True)
-                whole = np.bincount(place, near[counts], minlength=len(ids_of)).astype(np.float32)
-                a, b, near = np.r_[a[~counts], ids_of], np.r_[b[~counts], ids_of], np.r_[near[~counts], whole]
-                if len(a):
-                    yield packed(a, b, near)
+                if len(q):
+                    yield packed(np.minimum(q, m), np.maximum(q, m), near)
                 continue
             best = best_of_each(ids[q], own[m], near, k)
             yield packed(ids[q[best]], own[m[best]], near[best])
@@ -414,7 +431,7 @@ def _search(d: int, k: int | None, floor: float, parts: int) -> Callable:
 
 
 def _merge(k: int | None) -> Callable:
-    """Distinct pairs of a part, with ``k`` the best of each query; the largest of a query's counts."""
+    """Distinct pairs of a part, with ``k`` the best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -423,7 +440,7 @@ def _merge(k: int | None) -> Callable:
                 held.setdefault(part, []).append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(near, np.float32)))
         for part in list(held):
             a, b, near = (np.concatenate(c) for c in zip(*held.pop(part), strict=True))
-            order = np.lexsort((-near, b, a))
+            order = np.lexsort((b, a))
             order = order[np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]]
             a, b, near = a[order], b[order], near[order]
             best = slice(None) if k is None else best_of_each(a, b, near, k)
@@ -468,8 +485,8 @@ def candidates(
 ) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
     """(pairs a, b, near; usable rows; copies left out; copies kept): leaf candidates of each usable vector, each pair once.
 
-    Without ``k`` the pairs connect what all pairs from ``floor`` on connect; where
-    many were left out, a row with a = b has their number as near.
+    Without ``k`` the pairs connect what all pairs from ``floor`` on connect; a row
+    with a = b marks a vector that has other pairs, too.
     """
     vec = F.col(vector)
     copy = F.struct(F.xxhash64(vec), F.xxhash64(F.lit(1), vec))  # 128 bits

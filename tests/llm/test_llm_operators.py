@@ -11,7 +11,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gleaner.llm.clusters import density_peaks, described, joined_clusters, text_clusters, vector_clusters
-from gleaner.llm.forest import candidates, fit_trees, pairs_in_block, similar_vectors, unit, visit_order
+from gleaner.llm.forest import candidates, fit_trees, pairs_in_block, similar_vectors, unit, visit_order, weights_of_near
 from gleaner.llm.line_frequency import line_frequency
 from gleaner.llm.mixing import Leaf, full_total, mix, mix_report, plan_budgets
 from gleaner.llm.packing import pack, shortest_pack_first
@@ -318,6 +318,44 @@ def test_dense_vectors_make_few_links(spark, monkeypatch):
     assert (c[densest] >= 0.9).sum() > 0.8 * (c >= 0.9).sum(axis=1).max()
 
 
+def test_dense_vectors_have_whole_densities(spark, monkeypatch):
+    """Also where not all pairs are links, each copy of each neighbour counts once, whatever trees and blocks hold the pair."""
+    monkeypatch.setattr("gleaner.llm.forest.DENSE", 2)
+    monkeypatch.setattr("gleaner.llm.clusters.TILE_ROWS", 100, raising=False)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 64))
+    x[::3] = rng.normal(size=64) + rng.uniform(0.1, 0.5, size=(300, 1)) * x[::3]
+    x[1::9] = x[0] + 0.25 * x[1::9]
+    x = x.astype(np.float32)
+    copies = list(range(900)) + list(range(0, 900, 7)) + list(range(0, 450, 7))
+    df = spark.createDataFrame([(i, x[v].tolist()) for i, v in enumerate(copies)], "id long, v array<float>")
+    u = unit(x.astype(np.float64))
+    near = u @ u.T >= 0.9
+    assert any(r["a"] == r["b"] for r in candidates(df.where("id < 900"), "id", "v", 64, None, 0.9)[0].collect())
+    density = near @ np.bincount(copies, minlength=900)
+    parts = brute_clusters(range(900), lambda a, b: near[a, b])
+    clusters = vector_clusters(df, "id", "v").collect()
+    assert {(r["id"], r["rep"], r["cluster"], r["density"]) for r in clusters} == {(i, v, parts[v], density[v]) for i, v in enumerate(copies) if density[v] > 1}
+    got = {r["first_id"]: r["typical_ids"] for r in described(vector_clusters(df, "id", "v")).collect()}
+    assert got == {p: sorted((v for v in range(900) if parts[v] == p), key=lambda v: (-density[v], v))[:3] for p in {parts[v] for v in range(900) if density[v] > 1}}
+
+
+def test_weights_of_near_at_the_floor():
+    x = vectors(300)
+    x = np.concatenate([x, x[:150] + 1e-4 * np.random.default_rng(2).normal(size=(150, 64))]).astype(np.float32)
+    weights = np.arange(1, len(x) + 1, dtype=np.float64)
+
+    def cosine(a, b):  # as Spark sums
+        dot = lambda p, q: sum((float(s) * float(t) for s, t in zip(p, q, strict=True)), 0.0)
+        return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+
+    floor = cosine(x[3], x[303])  # a pair exactly at the floor
+    got = weights_of_near(x[:5], x, weights, floor)
+    assert got.tolist() == [sum(int(w) for w, other in zip(weights, x, strict=True) if cosine(own, other) >= floor) for own in x[:5]]
+    assert weights_of_near(x[3:4], x[303:304], weights[:1], floor).tolist() == [1]
+    assert weights_of_near(x[3:4], x[303:304], weights[:1], np.nextafter(floor, 2)).tolist() == [0]
+
+
 def test_vector_clusters_against_brute_force(spark):
     x = vectors(120)
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<float>")
