@@ -221,14 +221,19 @@ def best_of_each(a: np.ndarray, b: np.ndarray, near: np.ndarray, k: int) -> np.n
 
 
 def nearest_of_all(
-    ids: np.ndarray, x: np.ndarray, own: np.ndarray, own_x: np.ndarray, k: int, floor: float
+    ids: np.ndarray, x: np.ndarray, own: np.ndarray, own_x: np.ndarray, k: int, floor: float, farthest: bool = False
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, cosine) of the ``k`` most similar members of each query, from ``floor`` on, each compared with all members; not the query itself."""
+    """(query, member, cosine) of the ``k`` most similar members of each query, from ``floor`` on, each compared with all members; not the query itself.
+
+    With ``farthest`` the ``k`` least similar ones from ``floor`` on.
+    """
     found = []
     parts = len(own) // BOUND_ROWS
     for at in range(0, len(ids), STRIP_ROWS):
         cosines = x[at : at + STRIP_ROWS] @ own_x.T
-        least = np.full(len(cosines), max(floor, -1.5), dtype=np.float32)
+        if farthest:
+            cosines = np.where(cosines >= floor, -cosines, np.float32(-2))
+        least = np.full(len(cosines), -1.5 if farthest else max(floor, -1.5), dtype=np.float32)
         if parts > k:  # k + 1 parts hold a member from here on, and one of these may be the query
             tops = cosines[:, : parts * BOUND_ROWS].reshape(len(cosines), parts, BOUND_ROWS).max(axis=2)
             least = np.maximum(least, np.partition(tops, parts - k - 1, axis=1)[:, parts - k - 1])
@@ -240,7 +245,7 @@ def nearest_of_all(
         q, m, near = q[order], m[order], near[order]
         start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, dtype=np.int64)
         place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-        found.append((ids[at + q[place < k]], own[m[place < k]], near[place < k]))
+        found.append((ids[at + q[place < k]], own[m[place < k]], -near[place < k] if farthest else near[place < k]))
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
@@ -264,9 +269,12 @@ def _coded(x: np.ndarray) -> np.ndarray:
     return np.rint(x * (32_767 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int16)
 
 
-def enough_visits(rows: DataFrame, n: int, forest: tuple[np.ndarray, np.ndarray], d: int, k: int, floor: float, least: int) -> int:
+def enough_visits(rows: DataFrame, n: int, forest: tuple[np.ndarray, np.ndarray], d: int, k: int | None, floor: float, least: int) -> int:
     """The visits, from ``least`` on, with which a sample's vectors reach ``RECALL`` of their ``k`` nearest.
 
+    Without ``k`` all pairs from ``floor`` on are wanted; then it is the five nearest
+    and, as the hardest to find, the five farthest of these that must be found.
+
     The sample is compared with every row. A neighbour counts where a leaf
     that holds either vector is visited by the other. Where a least cosine is
     asked for, all neighbours must be found, and the visits are doubled once
@@ -280,18 +288,21 @@ def enough_visits(rows: DataFrame, n: int, forest: tuple[np.ndarray, np.ndarray]
     ids, first = np.unique(sample.column(0).to_numpy(), return_index=True)
     x = unit(sample.column(1).combine_chunks().flatten().to_numpy().astype(np.float32).reshape(-1, d))[first]
     shared = rows.sparkSession.sparkContext.broadcast((ids, x))
+    sides, k = (False,) if k else (False, True), k or 5
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, own_x in _chunks(batches, d, CHUNK_ROWS // 2):
             own, at = np.unique(own, return_index=True)
             own_x = own_x[at]
-            a, b, near = nearest_of_all(*shared.value, own, own_x, k, floor)
-            vectors = own_x[np.searchsorted(own, b)]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["a", "b", "near", "vec"])
-
-    turn = F.row_number().over(W.partitionBy("a").orderBy(F.col("near").desc(), "b"))
-    nearest = rows.select("id", "vec").mapInArrow(compare, "a long, b long, near float, vec binary").withColumn("turn", turn).where(F.col("turn") <= k)
-    true = nearest.select("a", "vec").toArrow()  # k rows for each of the sample
+            for far in sides:
+                a, b, near = nearest_of_all(*shared.value, own, own_x, k, floor, far)
+                vectors = own_x[np.searchsorted(own, b)]
+                columns = [pa.array(a), pa.array(b), pa.array(near), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(np.full(len(a), far))]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "near", "vec", "far"])
+
+    turn = F.row_number().over(W.partitionBy("a", "far").orderBy(F.when(F.col("far"), F.col("near")).otherwise(-F.col("near")), "b"))
+    nearest = rows.select("id", "vec").mapInArrow(compare, "a long, b long, near float, vec binary, far boolean").withColumn("turn", turn).where(F.col("turn") <= k)
+    true = nearest.select("a", "vec").toArrow()  # k rows, or twice as many, for each of the sample
     shared.unpersist()
     if not true.num_rows:
         return least
@@ -502,7 +513,7 @@ def candidates(
     depth = int(np.clip(np.ceil(np.log2(max(1, n) / LEAF_ROWS)), 0, MAX_DEPTH))
     forest = fit_trees(x, trees if depth else 1, depth, seed)
     near = floor - ROUNDING if floor > -1 else floor
-    visits = enough_visits(rows, n, forest, d, k or 5, floor, probes) if depth else 1
+    visits = enough_visits(rows, n, forest, d, k, floor, probes) if depth else 1
     leaves = 1 << depth
     if visits >= leaves:  # every leaf of one tree: all vectors are compared with all
         forest, visits = (forest[0][:1], forest[1][:1]), leaves

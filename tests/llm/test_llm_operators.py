@@ -11,7 +11,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gleaner.llm.clusters import density_peaks, described, joined_clusters, text_clusters, vector_clusters
-from gleaner.llm.forest import candidates, fit_trees, pairs_in_block, similar_vectors, unit, visit_order, weights_of_near
+from gleaner.llm.forest import candidates, fit_trees, nearest_of_all, pairs_in_block, similar_vectors, unit, visit_order, weights_of_near
 from gleaner.llm.line_frequency import line_frequency
 from gleaner.llm.mixing import Leaf, full_total, mix, mix_report, plan_budgets
 from gleaner.llm.packing import pack, shortest_pack_first
@@ -340,6 +340,31 @@ def test_dense_vectors_have_whole_densities(spark, monkeypatch):
     assert got == {p: sorted((v for v in range(900) if parts[v] == p), key=lambda v: (-density[v], v))[:3] for p in {parts[v] for v in range(900) if density[v] > 1}}
 
 
+def test_all_pairs_are_found_beyond_the_nearest(spark, monkeypatch):
+    """Groups of eight nearly equal vectors, ten groups around one centre: the five nearest say nothing about the other groups."""
+    monkeypatch.setattr("gleaner.llm.forest.LEAF_ROWS", 8)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(20, 64)), 80, axis=0) + 0.3 * np.repeat(rng.normal(size=(200, 64)), 8, axis=0) + 0.02 * rng.normal(size=(1600, 64))
+    x = np.concatenate([x, rng.normal(size=(1600, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<float>")
+    u = unit(x.astype(np.float64))
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)), strict=True)}
+    found = {(r["a"], r["b"]) for r in candidates(df, "id", "v", 64, None, 0.9)[0].collect()}
+    assert len(true) > 50_000 and true <= found
+
+
+def test_farthest_of_all():
+    x = unit(vectors(300).astype(np.float32))
+    x = np.concatenate([x[:30] + 0.02 * s * x[30:60] for s in range(10)])
+    x, ids = unit(x), np.arange(300)
+    c = x @ x.T
+    np.fill_diagonal(c, -2)
+    for k in (2, 5):
+        got = list(zip(*(v.tolist() for v in nearest_of_all(ids[:40], x[:40], ids, x, k, 0.9, True)), strict=True))
+        expected = [(q, int(m)) for q in range(40) for m in sorted(np.flatnonzero(c[q] >= 0.9), key=lambda m: (c[q, m], m))[:k]]
+        assert [(q, m) for q, m, _ in got] == expected and all(abs(c[q, m] - near) < 1e-6 for q, m, near in got)
+
+
 def test_weights_of_near_at_the_floor():
     x = vectors(300)
     x = np.concatenate([x, x[:150] + 1e-4 * np.random.default_rng(2).normal(size=(150, 64))]).astype(np.float32)
